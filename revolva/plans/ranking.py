@@ -1,0 +1,79 @@
+"""Exact global ranks without moving all rows to one task.
+
+Rows are range-partitioned on the full sort key and sorted within partitions.
+A row's rank is then its position in its partition plus the rows of all earlier
+partitions. The numbered rows are checkpointed, so that counting and ranking
+see the same partitions even after the loss of an executor. The offsets table
+has one row per partition.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from revolva.sources.store import shared_folder
+
+# monotonically_increasing_id() keeps the partition above bit 33, the position below it.
+_POSITION_BITS = 33
+
+
+def with_rank(df: DataFrame, order: Sequence[Column], name: str, group: str | None = None) -> DataFrame:
+    """Add the 0-based rank in ``order`` as ``name``, and the row count as ``{name}_of``.
+
+    ``order`` must be a total order. With ``group``, ranks restart per group
+    value; a group may still span many partitions.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group)] if group else []
+    ordered = (
+        df.repartitionByRange(slices, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_row", F.monotonically_increasing_id())
+        .checkpoint()
+        .withColumn("_slice", F.shiftright("_row", _POSITION_BITS))
+    )
+    parts = ordered.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    within = Window.partitionBy(*keys) if group else Window.partitionBy(F.lit(0))
+    earlier = within.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *keys,
+        "_slice",
+        "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(within).alias(f"{name}_of"),
+    )
+    on = ([group] if group else []) + ["_slice"]
+    return (
+        ordered.join(F.broadcast(offsets), on)
+        .withColumn(name, F.col("_row") - F.col("_first") + F.col("_before"))
+        .drop("_row", "_slice", "_first", "_before")
+    )
+
+
+def tile(rank: Column, count: Column, tiles: int) -> Column:
+    """The tile of a 0-based rank when ``count`` rows are cut into ``tiles``.
+
+    As NTILE does, the first ``count % tiles`` tiles hold one row more.
+    """
+    small = F.floor(count / tiles)
+    large = count % tiles
+    in_large = large * (small + 1)
+    return (
+        F.when(rank < in_large, F.floor(rank / (small + 1)) + 1)
+        .otherwise(large + F.floor((rank - in_large) / F.nullif(small, F.lit(0))) + 1)
+        .cast("int")
+    )
+
+
+def with_ntile(df: DataFrame, order: Sequence[Column], tiles: int, name: str) -> DataFrame:
+    """NTILE over the whole frame, exact and distributed."""
+    return (
+        with_rank(df, order, "_rank")
+        .withColumn(name, tile(F.col("_rank"), F.col("_rank_of"), tiles))
+        .drop("_rank", "_rank_of")
+    )
