@@ -41,7 +41,10 @@ def payment_behavior(p: Portfolio) -> DataFrame:
 
 
 def customer_risk_profile(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """Whole-life behaviour per card. The limit shown is the card's present one."""
+    """Whole-life behaviour per card, averages to six decimals.
+
+    The limit shown is the card's present one.
+    """
     behaviour = p.statements.groupBy("card_id").agg(
         F.avg(utilization()).alias("avg_utilization"),
         F.max(utilization()).alias("max_utilization"),
@@ -69,7 +72,7 @@ def customer_risk_profile(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame
             F.when(paid >= 0.95, "Transactor").when(paid >= 0.50, "Revolving").otherwise("Distressed"),
         )
         .withColumn("risk_score", fixed(score, 2))
-        .withColumns({c: fixed(c, 10) for c in averages})
+        .withColumns({c: fixed(c, 6) for c in averages})
         .select(
             "card_id",
             "customer_id",
