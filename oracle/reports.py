@@ -23,6 +23,7 @@ from oracle.sql import (
     score,
     total,
     total_if,
+    whole,
 )
 from oracle.tables import compose
 
@@ -637,7 +638,7 @@ def expected_loss() -> dict[str, str]:
         "expected_loss_stage": compose(
             f"""
             SELECT {stage('Stage 3', 'Stage 2', 'Stage 1')}, count(*) AS accounts, {rnd('avg(pd)', 4)} AS avg_pd, lgd,
-                   {rnd('sum(ead)', 0)} AS total_ead, {rnd(f'sum({loss})', 2)} AS total_expected_loss,
+                   {whole('sum(ead)')} AS total_ead, {rnd(f'sum({loss})', 2)} AS total_expected_loss,
                    {pct(f'sum({loss})', 'sum(ead)', 4)} AS el_rate_pct
             FROM risk GROUP BY ALL""",
             "risk",
@@ -645,13 +646,13 @@ def expected_loss() -> dict[str, str]:
         "expected_loss_product": compose(
             f"""
             SELECT product_type, count(*) AS accounts, {rnd('avg(pd)', 4)} AS avg_pd, lgd,
-                   {rnd('sum(ead)', 0)} AS total_ead, {rnd(f'sum({loss})', 2)} AS total_expected_loss,
+                   {whole('sum(ead)')} AS total_ead, {rnd(f'sum({loss})', 2)} AS total_expected_loss,
                    {rnd('avg(pd * lgd)', 4)} AS avg_el_rate
             FROM risk JOIN cards USING (card_id) GROUP BY product_type, lgd""",
             "risk",
         ),
         "ecl_reserve_monthly": compose(f"""
-            SELECT period_month, {rnd('ead', 0)} AS total_ead, pd, lgd, {rnd(loss, 2)} AS ecl_provision,
+            SELECT period_month, {whole('ead')} AS total_ead, pd, lgd, {rnd(loss, 2)} AS ecl_provision,
                    {rnd('pd * lgd * 1e2', 4)} AS provision_rate_pct
             FROM (SELECT period_month, sum({EAD}) AS ead, {rnd(div(n_if(DEFAULT), 'count(*)'), 4)} AS pd,
                          (SELECT {rnd(f'avg({LGD})', 4)} FROM writeoffs) AS lgd

@@ -8,6 +8,14 @@ def rnd(x: str, n: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28,10)), {n}) AS DOUBLE)"
 
 
+def whole(x: str) -> str:
+    """Round a sum of quarters to a whole number. Such sums are exact doubles,
+
+    while a cast to ten decimals is not exact above about a million.
+    """
+    return f"round(CAST({x} AS DOUBLE))"
+
+
 def even(x: str, n: int) -> str:
     """Round half to even on the scaled double."""
     return f"(round_even(CAST({x} AS DOUBLE) * 1e{n}, 0) / 1e{n})"
