@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import (
     BUCKET_SUFFIX,
@@ -16,13 +17,13 @@ from revolva.functions.bands import (
     utilization,
 )
 from revolva.functions.numeric import canonical, fixed, percent, ratio, rows, total
-from revolva.operators.delinquency import MONTH_SERIES, total_exposure_by_month
+from revolva.operators.delinquency import total_exposure_by_month
 from revolva.plans import panel, ranking, rollup
 from revolva.plans.portfolio import Portfolio
 
 
 def cumulative_exposure(p: Portfolio) -> DataFrame:
-    running = F.sum("monthly_exposure").over(MONTH_SERIES)
+    running = F.sum("monthly_exposure").over(windows.month_series())
     return total_exposure_by_month(p).withColumn("cumulative_exposure", running).orderBy("period_month")
 
 
@@ -31,7 +32,7 @@ def delinquency_bps(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     rate = percent(F.count_if(dpd_at_least(cfg.delinquent_dpd)), rows(), 4)
     monthly = p.statements.groupBy("period_month").agg(rate.alias("del_rate"))
     return (
-        monthly.withColumn("prev_rate", F.lag("del_rate").over(MONTH_SERIES))
+        monthly.withColumn("prev_rate", F.lag("del_rate").over(windows.month_series()))
         .withColumn("change_bps", fixed((F.col("del_rate") - F.col("prev_rate")) * 100, 2))
         .orderBy("period_month")
     )
@@ -46,7 +47,7 @@ def rolling_utilization(p: Portfolio) -> DataFrame:
         "card_id",
         "period_month",
         fixed(utilization(), 4).alias("utilization"),
-        fixed(F.avg(utilization()).over(panel.LAST_THREE), 4).alias("util_3mo_avg"),
+        fixed(F.avg(utilization()).over(windows.last_three()), 4).alias("util_3mo_avg"),
     ).sortWithinPartitions("card_id", "period_month")
 
 
@@ -155,7 +156,7 @@ def collections_efficiency(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFram
             "period_month",
             "statement_balance",
             "days_past_due",
-            F.lead("paid_amount").over(panel.BY_MONTH).alias("next_paid"),
+            F.lead("paid_amount").over(windows.by_month()).alias("next_paid"),
         )
         .where(dpd_at_least(cfg.delinquent_dpd))
         .groupBy("period_month")

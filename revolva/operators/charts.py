@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import BUCKETS, dpd_at_least
 from revolva.functions.numeric import ratio, rows, total
@@ -12,7 +13,6 @@ from revolva.operators import frames
 from revolva.plans.portfolio import Portfolio
 
 HISTOGRAM_BINS = 40
-_ALL = Window.partitionBy(F.lit(0))
 
 
 def bucket_distribution(p: Portfolio) -> DataFrame:
@@ -52,7 +52,7 @@ def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
 
 def vintage_sampled(p: Portfolio, step: int = 3, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """Curves of every third cohort, the first one included."""
-    nth = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cohort_month"))
+    nth = F.dense_rank().over(windows.all_groups().orderBy("cohort_month"))
     return (
         frames.vintage_curves(p, cfg)
         .withColumn("nth", nth)
@@ -84,27 +84,30 @@ def pd_histogram(p: Portfolio, bins: int = HISTOGRAM_BINS, cfg: RiskConfig = DEF
     """Cards per equal-width bin of the score; the last bin holds its upper edge.
 
     A score has four decimals, so the scores are first counted per value: at
-    most 10,001 rows go on to be binned, from one pass over the cards.
+    most 10,001 rows go on to be binned, from one pass over the cards. At most
+    ``bins`` counts are then collected, to list the empty bins too.
     """
     counted = (
         frames.pd_scores(p, cfg)
         .where(F.col("pd_score").isNotNull())
         .groupBy("pd_score")
         .agg(rows().alias("n"))
-        .select("pd_score", "n", F.min("pd_score").over(_ALL).alias("low"), F.max("pd_score").over(_ALL).alias("high"))
+        .select("pd_score", "n", F.min("pd_score").over(windows.all_groups()).alias("low"), F.max("pd_score").over(windows.all_groups()).alias("high"))
     )
     width = (F.col("high") - F.col("low")) / bins
     nth = F.floor((F.col("pd_score") - F.col("low")) / F.nullif(width, F.lit(0.0)))
     bin_no = F.least(F.coalesce(nth, F.lit(0)), F.lit(bins - 1)).cast("int")
-    counts = counted.groupBy("low", "high").agg(
-        *[F.coalesce(F.sum(F.when(bin_no == i, F.col("n"))), F.lit(0)).alias(f"b{i}") for i in range(bins)]
+    per_bin = counted.groupBy("low", "high", bin_no.alias("bin")).agg(F.sum("n").alias("n"))
+    found = per_bin.groupBy("low", "high").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts")
     )
-    pairs = [F.struct(F.lit(i).alias("bin"), F.col(f"b{i}").alias("accounts")) for i in range(bins)]
-    return counts.select("low", "high", F.inline(F.array(*pairs))).select(
+    return found.select(
+        "low", "high", "counts", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    ).select(
         "bin",
         (F.col("low") + F.col("bin") * width).alias("bin_start"),
         (F.col("low") + (F.col("bin") + 1) * width).alias("bin_end"),
-        "accounts",
+        F.coalesce(F.element_at("counts", F.col("bin")), F.lit(0)).alias("accounts"),
     )
 
 

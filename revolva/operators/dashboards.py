@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.functions.bands import DELINQUENT_BUCKETS, WATCH_BUCKETS
 from revolva.functions.numeric import fixed, percent, ratio, rows, total
 from revolva.operators import charts, exports, frames
-from revolva.operators.delinquency import MONTH_SERIES
 from revolva.plans import panel
 from revolva.plans.portfolio import Portfolio
 
@@ -59,13 +59,13 @@ def overview_breakdown(p: Portfolio, **filters) -> DataFrame:
 
 def running_average_change(p: Portfolio) -> DataFrame:
     """Change of the running mean of the monthly delinquency rate."""
-    so_far = F.avg("del_rate").over(MONTH_SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.avg("del_rate").over(windows.up_to_now(windows.month_series()))
     running = charts.monthly_trend(p).select("period_month", "del_rate", so_far.alias("running"))
     return running.select(
         "period_month",
         fixed("del_rate", 8).alias("del_rate"),
         fixed("running", 8).alias("running_avg"),
-        fixed(F.col("running") - F.lag("running").over(MONTH_SERIES), 8).alias("running_avg_change"),
+        fixed(F.col("running") - F.lag("running").over(windows.month_series()), 8).alias("running_avg_change"),
     ).orderBy("period_month")
 
 

@@ -101,7 +101,8 @@ def coefficients(m: FittedModel) -> DataFrame:
     fitted = m.stages.stages[-1]
     weights = [("intercept", float(fitted.intercept))]
     weights += list(zip(FEATURES, (float(w) for w in fitted.coefficients)))
-    return m.test.sparkSession.createDataFrame(weights, "feature string, weight double")
+    lines = [F.struct(F.lit(name).alias("feature"), F.lit(w).alias("weight")) for name, w in weights]
+    return m.test.sparkSession.range(1).select(F.inline(F.array(*lines)))
 
 
 def predictions(m: FittedModel) -> DataFrame:
@@ -117,7 +118,7 @@ def auc(m: FittedModel) -> DataFrame:
     evaluator = BinaryClassificationEvaluator(
         labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
     )
-    return m.test.sparkSession.createDataFrame([(float(evaluator.evaluate(m.scored)),)], "roc_auc double")
+    return m.test.sparkSession.range(1).select(F.lit(float(evaluator.evaluate(m.scored))).alias("roc_auc"))
 
 
 def confusion(m: FittedModel) -> DataFrame:

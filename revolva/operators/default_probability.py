@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import dpd_at_least, logistic, payment_ratio, util_band, utilization
 from revolva.functions.numeric import fixed, percent, ratio, rows
-from revolva.operators.delinquency import MONTH_SERIES
 from revolva.plans import panel, rollup
 from revolva.plans.portfolio import Portfolio
 
@@ -35,7 +35,7 @@ def monthly_pd(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     return monthly.select(
         "*",
         fixed(rate, 4).alias("pd_pct"),
-        fixed(F.avg(rate).over(MONTH_SERIES.rowsBetween(-2, 0)), 4).alias("pd_3mo_avg"),
+        fixed(F.avg(rate).over(windows.month_series().rowsBetween(-2, 0)), 4).alias("pd_3mo_avg"),
     ).orderBy("period_month")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import (
     BUCKET_SUFFIX,
@@ -21,9 +22,6 @@ from revolva.operators.kpis import monthly_trend
 from revolva.plans import panel
 from revolva.plans.portfolio import Portfolio
 
-_ALL = Window.partitionBy(F.lit(0))
-# Runs over the aggregated months only: one row per calendar month.
-MONTH_SERIES = Window.partitionBy(F.lit(0)).orderBy("period_month")
 
 
 def month_on_month(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
@@ -38,7 +36,7 @@ def month_on_month(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         rate("dpd_60plus").alias("dpd60_rate_pct"),
         rate("dpd_90plus").alias("dpd90_rate_pct"),
     )
-    change = F.col("del_rate_pct") - F.lag("del_rate_pct").over(MONTH_SERIES)
+    change = F.col("del_rate_pct") - F.lag("del_rate_pct").over(windows.month_series())
     return monthly.withColumn("mom_change_pct", fixed(change, 2)).orderBy("period_month")
 
 
@@ -75,7 +73,7 @@ def warning_summary(p: Portfolio) -> DataFrame:
         "ewi_flag",
         "occurrences",
         "unique_accounts",
-        percent("occurrences", F.sum("occurrences").over(_ALL)).alias("pct"),
+        percent("occurrences", F.sum("occurrences").over(windows.all_groups())).alias("pct"),
         "avg_current_dpd",
     ).orderBy(F.desc("occurrences"), "ewi_flag")
 
@@ -87,7 +85,7 @@ def delinquency_streaks(p: Portfolio, limit: int = 100, cfg: RiskConfig = DEFAUL
     differs between runs, so one ordered pass labels all runs.
     """
     late = F.coalesce(dpd_at_least(cfg.delinquent_dpd), F.lit(False))
-    run = F.count_if(~late).over(panel.SO_FAR)
+    run = F.count_if(~late).over(windows.up_to_now(windows.by_month()))
     return (
         p.statements.select("card_id", late.alias("late"), run.alias("run"))
         .where("late")

@@ -301,7 +301,8 @@ def roll_matrix_long(p: Portfolio) -> DataFrame:
 def roll_matrix_wide(p: Portfolio) -> DataFrame:
     """Five rows and five rate columns; a move never seen has rate zero."""
     long = roll_matrix_long(p)
-    every = p.statements.sparkSession.createDataFrame([(b,) for b in BUCKETS], "dpd_bucket string")
+    labels = F.explode(F.array(*[F.lit(b) for b in BUCKETS]))
+    every = p.statements.sparkSession.range(1).select(labels.alias("dpd_bucket"))
     wide = long.groupBy("dpd_bucket").pivot("next_bucket", list(BUCKETS)).agg(F.first("roll_rate"))
     return every.join(F.broadcast(wide), "dpd_bucket", "left").na.fill(0.0).orderBy(severity("dpd_bucket"))
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import dpd_at_least, payment_ratio, payment_type, severity, util_band, utilization
 from revolva.functions.numeric import fixed, percent, rows, total, total_if
 from revolva.plans import rollup
 from revolva.plans.portfolio import Portfolio
 
-_ALL = Window.partitionBy(F.lit(0))
 
 
 def portfolio_summary(p: Portfolio) -> DataFrame:
@@ -36,7 +36,7 @@ def by_bucket(p: Portfolio) -> DataFrame:
         F.count_distinct("card_id").alias("unique_accounts"),
         total("statement_balance").alias("total_exposure"),
     )
-    share = percent("account_months", F.sum("account_months").over(_ALL))
+    share = percent("account_months", F.sum("account_months").over(windows.all_groups()))
     return groups.withColumn("pct_of_portfolio", share).orderBy(severity("dpd_bucket"))
 
 
@@ -62,7 +62,7 @@ def by_payment_type(p: Portfolio) -> DataFrame:
     return groups.select(
         "payment_type",
         "occurrences",
-        percent("occurrences", F.sum("occurrences").over(_ALL)).alias("pct"),
+        percent("occurrences", F.sum("occurrences").over(windows.all_groups())).alias("pct"),
         "revolving_balance",
         "avg_dpd",
     ).orderBy(F.desc("occurrences"), "payment_type")

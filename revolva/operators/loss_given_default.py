@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.functions.bands import lgd
 from revolva.functions.numeric import fixed, percent, ratio, rows, total
 from revolva.plans.portfolio import Portfolio
@@ -79,7 +80,7 @@ def lgd_histogram(p: Portfolio) -> DataFrame:
         total("writeoff_amount").alias("total_exposure"),
         total(_net()).alias("net_loss"),
     )
-    everything = F.sum("writeoffs").over(Window.partitionBy(F.lit(0)))
+    everything = F.sum("writeoffs").over(windows.all_groups())
     return groups.withColumn("pct_of_writeoffs", percent("writeoffs", everything)).orderBy("lgd_band")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.functions.bands import bucket_of, lgd, severity
 from revolva.functions.numeric import fixed, percent, rows, total
 from revolva.plans.portfolio import Portfolio
 
-_ALL = Window.partitionBy(F.lit(0))
 
 
 def _null_counts(df: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
@@ -123,7 +123,7 @@ def orphan_writeoffs(p: Portfolio) -> DataFrame:
 
 def profile_customers(p: Portfolio) -> DataFrame:
     groups = p.customers.groupBy("region", "income_band").agg(rows().alias("customers"))
-    return groups.withColumn("pct", percent("customers", F.sum("customers").over(_ALL))).orderBy(
+    return groups.withColumn("pct", percent("customers", F.sum("customers").over(windows.all_groups()))).orderBy(
         F.desc("customers"), "region", "income_band"
     )
 
@@ -148,7 +148,7 @@ def profile_buckets(p: Portfolio) -> DataFrame:
     return groups.select(
         "dpd_bucket",
         "account_months",
-        percent("account_months", F.sum("account_months").over(_ALL)).alias("pct"),
+        percent("account_months", F.sum("account_months").over(windows.all_groups())).alias("pct"),
         "total_exposure",
     ).orderBy(severity("dpd_bucket"))
 

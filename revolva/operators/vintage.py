@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import dpd_at_least
 from revolva.functions.numeric import fixed, percent, ratio, rows, total
@@ -39,7 +40,7 @@ def cumulative(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     A card without a statement at an age is not counted there.
     """
     hit = F.max(F.coalesce(dpd_at_least(cfg.default_dpd), F.lit(False)))
-    so_far = panel.BY_CARD.orderBy("mob").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = windows.up_to_now(windows.by_card().orderBy("mob"))
     return (
         panel.aged(p.statements)
         .groupBy("card_id", "cohort_month", "mob")

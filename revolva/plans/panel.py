@@ -9,20 +9,16 @@ month, whatever the size of the portfolio.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revolva.functions.bands import months_between
-
-BY_CARD = Window.partitionBy("card_id")
-BY_MONTH = BY_CARD.orderBy("period_month")
-SO_FAR = BY_MONTH.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-LAST_THREE = BY_MONTH.rowsBetween(-2, Window.currentRow)
+from revolva.functions.windows import by_card, by_month
 
 
 def transitions(statements: DataFrame) -> DataFrame:
     """Each statement beside the card's next observed one; the last has none."""
-    nxt = lambda c: F.lead(c).over(BY_MONTH)
+    nxt = lambda c: F.lead(c).over(by_month())
     return statements.select(
         "card_id",
         F.col("period_month").alias("current_month"),
@@ -41,7 +37,7 @@ def moves(statements: DataFrame) -> DataFrame:
 
 def aged(statements: DataFrame) -> DataFrame:
     """Statements with the card's first month and 0-based months on book."""
-    first = F.min("period_month").over(BY_CARD)
+    first = F.min("period_month").over(by_card())
     return statements.withColumn("cohort_month", first).withColumn(
         "mob", months_between("period_month", "cohort_month")
     )
@@ -49,8 +45,8 @@ def aged(statements: DataFrame) -> DataFrame:
 
 def numbered(statements: DataFrame, name: str = "mob") -> DataFrame:
     """Statements with the 1-based position of the statement on its card."""
-    return statements.withColumn(name, F.row_number().over(BY_MONTH))
+    return statements.withColumn(name, F.row_number().over(by_month()))
 
 
 def previous(c: str) -> Column:
-    return F.lag(c).over(BY_MONTH)
+    return F.lag(c).over(by_month())

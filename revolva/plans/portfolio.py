@@ -14,14 +14,18 @@ class Portfolio:
     cards: DataFrame
     statements: DataFrame
     writeoffs: DataFrame
+    stored_accounts: DataFrame | None = None
 
     @property
     def accounts(self) -> DataFrame:
-        """Cards with their customer: one row per card.
+        """Cards with their customer: one row per card that has one.
 
         The two dimensions are joined to each other first, so that a fact table
-        is shuffled for one join on ``card_id`` instead of for two.
+        is shuffled for one join on ``card_id`` instead of for two. A stored
+        portfolio keeps the result, clustered like the statements.
         """
+        if self.stored_accounts is not None:
+            return self.stored_accounts
         return self.cards.select(
             "card_id", "customer_id", "product_type", F.col("credit_limit").alias("card_limit")
         ).join(self.customers.select("customer_id", "region", "income_band"), "customer_id")

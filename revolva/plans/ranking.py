@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
 from revolva.sources.store import shared_folder
 
 # monotonically_increasing_id() keeps the partition above bit 33, the position below it.
@@ -38,8 +39,8 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str, group: str | No
         .withColumn("_slice", F.shiftright("_row", _POSITION_BITS))
     )
     parts = ordered.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    within = Window.partitionBy(*keys) if group else Window.partitionBy(F.lit(0))
-    earlier = within.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys) if group else windows.all_groups()
+    earlier = windows.before_now(within.orderBy("_slice"))
     offsets = parts.select(
         *keys,
         "_slice",

@@ -6,9 +6,11 @@ SQL engine can reproduce.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revolva.functions import windows
+
 # Five hexadecimal digits: at most 1,048,576 histogram rows at any data size.
 _PREFIX = 5
 
@@ -28,9 +30,7 @@ def sample_exact(df: DataFrame, size: int, seed: int, *keys: str) -> DataFrame:
     tagged = df.withColumn("_draw", draw(seed, *keys))
     prefix = F.substring("_draw", 1, _PREFIX)
     histogram = tagged.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(
-        Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    running = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy("_prefix")))
     last_prefix = (
         histogram.select("_prefix", F.coalesce(running, F.lit(0)).alias("_before"))
         .where(F.col("_before") < size)

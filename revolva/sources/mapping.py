@@ -39,14 +39,9 @@ PRODUCT = {
 }
 
 
-def _floor(c: Column) -> Column:
-    return F.floor(c).cast("int")
-
-
 def _scaled(value: Column, share: Column, base: int) -> Column:
     """floor(value * share / base) in integers."""
-    product = value.cast("bigint") * share
-    return ((product - product % base) / base).cast("int")
+    return F.call_function("div", value.cast("bigint") * share, F.lit(base)).cast("int")
 
 
 def _by_profile(values: dict[str, Column]) -> Column:
@@ -152,7 +147,7 @@ def statements(people: DataFrame, act: DataFrame) -> DataFrame:
     due = F.col("statement_balance")
     return sized.select(
         "card_id",
-        F.make_date(FIRST_YEAR + _floor(idx / 12), idx % 12 + 1, F.lit(1)).alias("period_month"),
+        F.add_months(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), idx).alias("period_month"),
         "statement_balance",
         _scaled(due, F.lit(3), 100).alias("min_due"),
         _scaled(due, share(PAYMENT_SHARE, F.col("h2")), 10_000).alias("paid_amount"),

@@ -54,18 +54,18 @@ def derive(spark: SparkSession, sf_dir: str) -> Portfolio:
     return Portfolio(mapping.customers(people), mapping.cards(people), stmts, mapping.writeoffs(stmts))
 
 
-def _write_bucketed(df: DataFrame, table: str, key: str, name: str, folder: str, buckets: int) -> DataFrame:
-    spark = df.sparkSession
+def _write_bucketed(df: DataFrame, table: str, name: str, folder: str, buckets: int) -> DataFrame:
+    """Write a frame that is hash-partitioned by its key: one file per bucket."""
+    key = CLUSTER_KEY[name]
     order = ["period_month", key] if name == "statements" else [key]
     (
-        df.repartition(buckets, key)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("path", f"{folder.rstrip('/')}/{table}")
         .bucketBy(buckets, key)
         .sortBy(*order)
         .saveAsTable(table)
     )
-    return spark.table(table)
+    return df.sparkSession.table(table)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Portfolio:
@@ -74,23 +74,26 @@ def load(spark: SparkSession, sf_dir: str) -> Portfolio:
     key = (sc.applicationId, sf_dir.rstrip("/"))
     if key in _stored:
         return _stored[key]
-    lazy = derive(spark, sf_dir)
     folder = shared_folder(spark)
     if folder is None:
-        return lazy
+        return derive(spark, sf_dir)
     digest = hashlib.md5("|".join(key).encode()).hexdigest()[:12]
     buckets = bucket_count(spark, spark.read.parquet(f"{key[1]}/lineitem.parquet").count())
 
-    def store(name: str, df: DataFrame) -> DataFrame:
-        return _write_bucketed(df, f"revolva_{digest}_{name}", CLUSTER_KEY[name], name, folder, buckets)
+    def store(name: str, df: DataFrame, clustered: bool = False) -> DataFrame:
+        if not clustered:
+            df = df.repartition(buckets, CLUSTER_KEY[name])
+        return _write_bucketed(df, f"revolva_{digest}_{name}", name, folder, buckets)
 
-    stmts = store("statements", lazy.statements)
-    _stored[key] = Portfolio(
-        customers=store("customers", lazy.customers),
-        cards=store("cards", lazy.cards),
-        statements=stmts,
-        writeoffs=store("writeoffs", mapping.writeoffs(stmts)),
-    )
+    people = mapping.holders(spark, sf_dir)
+    customers, cards = store("customers", mapping.customers(people)), store("cards", mapping.cards(people))
+    # Both sides of the join are spread over the buckets beforehand, so that the
+    # joined statements are already where the write needs them.
+    act = mapping.activity(spark, sf_dir).repartition(buckets, "card_id")
+    stmts = store("statements", mapping.statements(people.repartition(buckets, "card_id"), act), clustered=True)
+    losses = store("writeoffs", mapping.writeoffs(stmts))
+    accounts = store("accounts", Portfolio(customers, cards, stmts, losses).accounts)
+    _stored[key] = Portfolio(customers, cards, stmts, losses, accounts)
     return _stored[key]
 
 
