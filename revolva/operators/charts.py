@@ -32,7 +32,7 @@ def util_distribution(p: Portfolio) -> DataFrame:
     )
 
 
-def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+def monthly_rates(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     return (
         p.statements.groupBy("period_month")
         .agg(
@@ -46,15 +46,18 @@ def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             (ratio("del30", "total") * 100).alias("del_rate"),
             (ratio("def90", "total") * 100).alias("def_rate"),
         )
-        .orderBy("period_month")
     )
 
 
+def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    return monthly_rates(p, cfg).orderBy("period_month")
+
+
 def vintage_sampled(p: Portfolio, step: int = 3, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """Curves of every third cohort, the first one included."""
     nth = F.dense_rank().over(windows.all_groups().orderBy("cohort_month"))
     return (
-        frames.vintage_curves(p, cfg)
+        frames.cohort_rates(p, cfg)
         .withColumn("nth", nth)
         .where((F.col("nth") - 1) % step == 0)
         .select("cohort_month", "mob", "default_rate")

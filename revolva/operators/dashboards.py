@@ -60,7 +60,7 @@ def overview_breakdown(p: Portfolio, **filters) -> DataFrame:
 def running_average_change(p: Portfolio) -> DataFrame:
     """Change of the running mean of the monthly delinquency rate."""
     so_far = F.avg("del_rate").over(windows.up_to_now(windows.month_series()))
-    running = charts.monthly_trend(p).select("period_month", "del_rate", so_far.alias("running"))
+    running = charts.monthly_rates(p).select("period_month", "del_rate", so_far.alias("running"))
     return running.select(
         "period_month",
         fixed("del_rate", 8).alias("del_rate"),
@@ -71,7 +71,7 @@ def running_average_change(p: Portfolio) -> DataFrame:
 
 def vintage_at_age(p: Portfolio, mob: int = 12) -> DataFrame:
     return (
-        frames.vintage_curves(p)
+        frames.cohort_rates(p)
         .where(F.col("mob") == mob)
         .select("cohort_month", "default_rate")
         .orderBy("cohort_month")
@@ -79,7 +79,7 @@ def vintage_at_age(p: Portfolio, mob: int = 12) -> DataFrame:
 
 
 def cohort_heatmap(p: Portfolio) -> DataFrame:
-    return frames.vintage_curves(p).select(
+    return frames.cohort_rates(p).select(
         "cohort_month", "mob", "delinquency_rate", "accounts", "defaulted"
     )
 
@@ -100,7 +100,7 @@ def forward_roll_trend(p: Portfolio) -> DataFrame:
 def region_delinquency(p: Portfolio) -> DataFrame:
     """Unweighted mean over the segments of a region."""
     return (
-        exports.segments(p)
+        exports.segment_measures(p)
         .groupBy("region")
         .agg(fixed(F.avg("del_rate"), 8).alias("avg_del_rate"))
         .orderBy(F.desc("avg_del_rate"), "region")
@@ -109,7 +109,7 @@ def region_delinquency(p: Portfolio) -> DataFrame:
 
 def income_scatter(p: Portfolio) -> DataFrame:
     return (
-        exports.segments(p)
+        exports.segment_measures(p)
         .groupBy("income_band")
         .agg(
             fixed(F.avg("avg_util"), 8).alias("avg_util"),
@@ -122,7 +122,7 @@ def income_scatter(p: Portfolio) -> DataFrame:
 
 def product_income_heatmap(p: Portfolio) -> DataFrame:
     return (
-        exports.segments(p)
+        exports.segment_measures(p)
         .groupBy("product_type", "income_band")
         .agg(fixed(F.avg("del_rate"), 8).alias("del_rate"))
         .orderBy("product_type", "income_band")
@@ -131,7 +131,7 @@ def product_income_heatmap(p: Portfolio) -> DataFrame:
 
 def exposure_treemap(p: Portfolio) -> DataFrame:
     return (
-        exports.segments(p)
+        exports.segment_measures(p)
         .groupBy("region", "income_band")
         .agg(F.sum("exposure").alias("exposure"), fixed(F.avg("del_rate"), 8).alias("del_rate"))
         .orderBy(F.desc("exposure"), "region", "income_band")

@@ -18,7 +18,7 @@ from revolva.functions.bands import (
 )
 from revolva.functions.numeric import fixed, percent, rows, total, total_if
 from revolva.operators import features
-from revolva.operators.kpis import monthly_trend
+from revolva.operators.kpis import monthly_counts
 from revolva.plans import panel
 from revolva.plans.portfolio import Portfolio
 
@@ -27,7 +27,7 @@ from revolva.plans.portfolio import Portfolio
 def month_on_month(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """Monthly rates; the change is the difference of the rounded rates."""
     rate = lambda c: percent(c, "total_accounts")
-    monthly = monthly_trend(p, cfg).select(
+    monthly = monthly_counts(p, cfg).select(
         "period_month",
         F.col("total_accounts").alias("total"),
         F.col("dpd_30plus").alias("delinquent"),

@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.numeric import ratio, rows, total
 from revolva.operators import charts, frames
-from revolva.operators.load import date_range
 from revolva.plans import sampling
 from revolva.plans.portfolio import Portfolio
 from revolva.sources.readers import write_csv
@@ -38,7 +39,10 @@ def roll_rates(p: Portfolio) -> DataFrame:
     return frames.roll_matrix_long(p)
 
 
-def segments(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+SEGMENT_KEYS = ("region", "income_band", "product_type", "util_band")
+
+
+def segment_measures(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """Measures per region, income, product and band, observed groups only.
 
     Statements are reduced to one row per card and band before the join, which
@@ -56,11 +60,10 @@ def segments(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             total("statement_balance").alias("balance"),
         )
     )
-    keys = ["region", "income_band", "product_type", "util_band"]
     return (
         frames.with_dimensions(per_card, p)
-        .dropna(subset=keys)
-        .groupBy(*keys)
+        .dropna(subset=list(SEGMENT_KEYS))
+        .groupBy(*SEGMENT_KEYS)
         .agg(
             rows().alias("accounts"),
             (ratio(F.sum("util_units"), F.sum("n")) / 10_000.0).alias("avg_util"),
@@ -68,12 +71,15 @@ def segments(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             ratio(F.sum("n90"), F.sum("n")).alias("def_rate"),
             F.sum("balance").alias("exposure"),
         )
-        .orderBy(*keys)
     )
 
 
+def segments(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    return segment_measures(p, cfg).orderBy(*SEGMENT_KEYS)
+
+
 def expected_loss(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    people = p.cards.join(p.customers, "customer_id")
+    people = p.accounts.withColumnRenamed("card_limit", "credit_limit")
     return frames.expected_loss(p, cfg).join(people, "card_id")
 
 
@@ -93,28 +99,33 @@ def write_all(p: Portfolio, folder: str) -> None:
 
 
 def final_summary(p: Portfolio, auc: DataFrame | None = None, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """One row with the headline figures; ``auc`` adds the model's one-row score."""
-    count = lambda df, name: df.agg(rows().alias(name))
+    """One row with the headline figures; ``auc`` adds the model's one-row score.
+
+    All risk figures come from one pass over the card-level losses: every
+    statement of the last month belongs to a card with a score.
+    """
+    stage = lambda i: F.count_if(F.col("ifrs9_stage") == f"Stage {i}")
+    risk = (
+        frames.expected_loss(p, cfg)
+        .agg(
+            ratio(F.count_if(F.col("max_dpd") >= cfg.default_dpd), rows()).alias("portfolio_pd"),
+            F.max("lgd").alias("portfolio_lgd"),
+            F.sum("ead").alias("portfolio_ead"),
+            frames.cents("expected_loss").alias("expected_loss"),
+            *[stage(i).alias(f"stage_{i}_accounts") for i in (1, 2, 3)],
+        )
+        .withColumn("el_rate", ratio("expected_loss", "portfolio_ead"))
+    )
+    panel_size = p.statements.agg(
+        rows().alias("statements"),
+        F.min("period_month").alias("min_month"),
+        F.max("period_month").alias("max_month"),
+    )
     parts = [
-        count(p.customers, "customers"),
-        count(p.cards, "cards"),
-        count(p.statements, "statements"),
-        count(p.writeoffs, "writeoffs"),
-        date_range(p),
-        frames.pd_portfolio(p, cfg).select("portfolio_pd"),
-        frames.lgd_summary(p).select("portfolio_lgd"),
-        frames.ead_summary(p, cfg).select("portfolio_ead"),
-        frames.loss_totals(p, cfg).select(
-            F.col("total_el").alias("expected_loss"),
-            "el_rate",
-            "stage_1_accounts",
-            "stage_2_accounts",
-            "stage_3_accounts",
-        ),
-    ]
-    if auc is not None:
-        parts.append(auc)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(F.broadcast(part))
-    return out
+        p.customers.agg(rows().alias("customers")),
+        p.cards.agg(rows().alias("cards")),
+        panel_size,
+        p.writeoffs.agg(rows().alias("writeoffs")),
+        risk,
+    ] + ([] if auc is None else [auc])
+    return reduce(lambda left, right: left.crossJoin(F.broadcast(right)), parts)

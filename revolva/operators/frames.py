@@ -62,8 +62,7 @@ def features(statements: DataFrame, cfg: RiskConfig = DEFAULTS) -> DataFrame:
 
 def with_dimensions(df: DataFrame, p: Portfolio) -> DataFrame:
     """Left join with card and customer, without the card's own limit."""
-    people = p.cards.drop("credit_limit").join(p.customers, "customer_id", "left")
-    return df.join(people, "card_id", "left")
+    return df.join(p.holders.drop("card_limit", "has_customer"), "card_id", "left")
 
 
 def master(p: Portfolio) -> DataFrame:
@@ -283,7 +282,7 @@ def loss_totals(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     )
 
 
-def roll_matrix_long(p: Portfolio) -> DataFrame:
+def roll_rates(p: Portfolio) -> DataFrame:
     counts = (
         panel.transitions(p.statements)
         .where(F.col("next_bucket").isNotNull())
@@ -291,23 +290,24 @@ def roll_matrix_long(p: Portfolio) -> DataFrame:
         .agg(rows().alias("count"))
     )
     per_bucket = F.sum("count").over(Window.partitionBy("dpd_bucket"))
-    return (
-        counts.withColumn("total", per_bucket)
-        .withColumn("roll_rate", half_even(ratio("count", "total") * 100, 2))
-        .orderBy(severity("dpd_bucket"), severity("next_bucket"))
-    )
+    rate = half_even(ratio("count", "total") * 100, 2)
+    return counts.withColumn("total", per_bucket).withColumn("roll_rate", rate)
+
+
+def roll_matrix_long(p: Portfolio) -> DataFrame:
+    return roll_rates(p).orderBy(severity("dpd_bucket"), severity("next_bucket"))
 
 
 def roll_matrix_wide(p: Portfolio) -> DataFrame:
     """Five rows and five rate columns; a move never seen has rate zero."""
-    long = roll_matrix_long(p)
+    long = roll_rates(p)
     labels = F.explode(F.array(*[F.lit(b) for b in BUCKETS]))
     every = p.statements.sparkSession.range(1).select(labels.alias("dpd_bucket"))
     wide = long.groupBy("dpd_bucket").pivot("next_bucket", list(BUCKETS)).agg(F.first("roll_rate"))
     return every.join(F.broadcast(wide), "dpd_bucket", "left").na.fill(0.0).orderBy(severity("dpd_bucket"))
 
 
-def vintage_curves(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+def cohort_rates(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     return (
         panel.aged(p.statements)
         .groupBy("cohort_month", "mob")
@@ -321,5 +321,8 @@ def vintage_curves(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             half_even(ratio("defaulted", "accounts") * 100, 4).alias("default_rate"),
             half_even(ratio("delinquent", "accounts") * 100, 4).alias("delinquency_rate"),
         )
-        .orderBy("cohort_month", "mob")
     )
+
+
+def vintage_curves(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    return cohort_rates(p, cfg).orderBy("cohort_month", "mob")

@@ -108,23 +108,23 @@ def by_product(p: Portfolio) -> DataFrame:
     ).orderBy(F.desc("del_rate_pct"), "product_type")
 
 
-def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+def monthly_counts(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     late = dpd_at_least(cfg.delinquent_dpd)
-    return (
-        p.statements.groupBy("period_month")
-        .agg(
-            rows().alias("total_accounts"),
-            F.count_if(late).alias("dpd_30plus"),
-            F.count_if(dpd_at_least(cfg.serious_dpd)).alias("dpd_60plus"),
-            F.count_if(dpd_at_least(cfg.default_dpd)).alias("dpd_90plus"),
-            total("statement_balance").alias("total_exposure"),
-            total_if(late, "statement_balance").alias("at_risk_exposure"),
-        )
-        .withColumn("del_rate_pct", percent("dpd_30plus", "total_accounts"))
-        .orderBy("period_month")
+    return p.statements.groupBy("period_month").agg(
+        rows().alias("total_accounts"),
+        F.count_if(late).alias("dpd_30plus"),
+        F.count_if(dpd_at_least(cfg.serious_dpd)).alias("dpd_60plus"),
+        F.count_if(dpd_at_least(cfg.default_dpd)).alias("dpd_90plus"),
+        total("statement_balance").alias("total_exposure"),
+        total_if(late, "statement_balance").alias("at_risk_exposure"),
     )
 
 
+def monthly_trend(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    rate = percent("dpd_30plus", "total_accounts")
+    return monthly_counts(p, cfg).withColumn("del_rate_pct", rate).orderBy("period_month")
+
+
 def top_risk_accounts(p: Portfolio, limit: int = 50) -> DataFrame:
     """The worst statements of the last month; the card breaks ties."""
     return (

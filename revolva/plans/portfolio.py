@@ -14,21 +14,28 @@ class Portfolio:
     cards: DataFrame
     statements: DataFrame
     writeoffs: DataFrame
-    stored_accounts: DataFrame | None = None
+    stored_holders: DataFrame | None = None
 
     @property
-    def accounts(self) -> DataFrame:
-        """Cards with their customer: one row per card that has one.
+    def holders(self) -> DataFrame:
+        """Every card with its customer's columns, NULL where it has no customer.
 
         The two dimensions are joined to each other first, so that a fact table
         is shuffled for one join on ``card_id`` instead of for two. A stored
         portfolio keeps the result, clustered like the statements.
         """
-        if self.stored_accounts is not None:
-            return self.stored_accounts
-        return self.cards.select(
-            "card_id", "customer_id", "product_type", F.col("credit_limit").alias("card_limit")
-        ).join(self.customers.select("customer_id", "region", "income_band"), "customer_id")
+        if self.stored_holders is not None:
+            return self.stored_holders
+        return (
+            self.cards.withColumnRenamed("credit_limit", "card_limit")
+            .join(self.customers.withColumn("has_customer", F.lit(True)), "customer_id", "left")
+            .withColumn("has_customer", F.coalesce("has_customer", F.lit(False)))
+        )
+
+    @property
+    def accounts(self) -> DataFrame:
+        """The cards that have a customer."""
+        return self.holders.where("has_customer").drop("has_customer")
 
     def latest_month(self) -> Column:
         """The last month with a statement, as an uncorrelated scalar subquery."""

@@ -31,12 +31,36 @@ def read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
     )
 
 
-def read_portfolio(spark: SparkSession, folder: str, fmt: str = "csv") -> Portfolio:
-    """Read ``customers``, ``cards``, ``statements`` and ``writeoffs`` from a folder."""
+class RepeatedStatements(ValueError):
+    """The panel holds more than one statement for some card and month."""
+
+
+def check_panel(statements: DataFrame) -> None:
+    """Refuse a panel with repeated (card, month) keys.
+
+    Ordered operators need the key to be unique. It also bounds their window
+    groups by the number of calendar months, however large the portfolio is.
+    Counts combine before the shuffle, so the check itself cannot be skewed.
+    """
+    keys = ["card_id", "period_month"]
+    repeated = statements.groupBy(*keys).count().where(F.col("count") > 1).agg(F.count(F.lit(1))).first()[0]
+    if repeated:
+        raise RepeatedStatements(f"{repeated} repeated (card_id, period_month) keys")
+
+
+def read_portfolio(spark: SparkSession, folder: str, fmt: str = "csv", check: bool = True) -> Portfolio:
+    """Read ``customers``, ``cards``, ``statements`` and ``writeoffs`` from a folder.
+
+    With ``check=False`` the portfolio may only be given to the quality checks,
+    which are meant for data that breaks the rules.
+    """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unsupported format: {fmt}")
     reader = read_csv if fmt == "csv" else read_parquet
-    return Portfolio(**{t: reader(spark, f"{folder.rstrip('/')}/{t}.{fmt}", t) for t in TABLES})
+    p = Portfolio(**{t: reader(spark, f"{folder.rstrip('/')}/{t}.{fmt}", t) for t in TABLES})
+    if check:
+        check_panel(p.statements)
+    return p
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -63,5 +63,5 @@ CLUSTER_KEY = {
     "cards": "card_id",
     "statements": "card_id",
     "writeoffs": "card_id",
-    "accounts": "card_id",
+    "holders": "card_id",
 }

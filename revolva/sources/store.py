@@ -92,8 +92,8 @@ def load(spark: SparkSession, sf_dir: str) -> Portfolio:
     act = mapping.activity(spark, sf_dir).repartition(buckets, "card_id")
     stmts = store("statements", mapping.statements(people.repartition(buckets, "card_id"), act), clustered=True)
     losses = store("writeoffs", mapping.writeoffs(stmts))
-    accounts = store("accounts", Portfolio(customers, cards, stmts, losses).accounts)
-    _stored[key] = Portfolio(customers, cards, stmts, losses, accounts)
+    holders = store("holders", Portfolio(customers, cards, stmts, losses).holders)
+    _stored[key] = Portfolio(customers, cards, stmts, losses, holders)
     return _stored[key]
 
 

@@ -1,0 +1,52 @@
+import random
+
+import pytest
+from conftest import statement
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from revolva.plans import ranking, sampling
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 7, 10, 101, 1000])
+@pytest.mark.parametrize("tiles", [5, 10])
+def test_tiles_equal_ntile(spark, size, tiles):
+    rng = random.Random(size)
+    data = [(i, None if rng.random() < 0.1 else float(rng.randrange(5))) for i in range(size)]
+    df = spark.createDataFrame(data, "card_id long, score double").repartition(4)
+    order = [F.desc_nulls_last("score"), F.col("card_id")]
+    want = df.withColumn("t", F.ntile(tiles).over(Window.orderBy(*order)))
+    got = ranking.with_ntile(df, order, tiles, "t")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
+
+
+def test_one_value_shared_by_most_rows_is_still_spread(spark):
+    df = spark.range(4000).select(F.col("id").alias("card_id"), F.lit(0).alias("score"))
+    spread = df.repartitionByRange(8, "score", "card_id").groupBy(F.spark_partition_id()).count()
+    assert spread.count() == 8
+    ranked = ranking.with_rank(df, [F.desc("score"), F.col("card_id")], "r")
+    assert ranked.where(F.col("r") != F.col("card_id")).count() == 0
+    assert ranked.where(F.col("r_of") != 4000).count() == 0
+
+
+def test_ranks_restart_per_group(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    ranked = ranking.with_rank(df, [F.desc("k")], "r", group="g")
+    want = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("k"))) - 1
+    assert ranked.withColumn("w", want).where("r != w or r_of != 100").count() == 0
+
+
+@pytest.fixture(scope="module")
+def panel(make):
+    return make([statement(c, m) for c in range(40) for m in range(10)]).statements
+
+
+@pytest.mark.parametrize("size", [1, 57, 399, 400, 1000])
+def test_sample_is_exact_and_repeatable(panel, size):
+    keys = ("card_id", "period_month")
+    draw = lambda df, seed=42: {tuple(r) for r in sampling.sample_exact(df, size, seed, *keys).select(*keys).collect()}
+    first = draw(panel)
+    assert len(first) == min(size, 400)
+    assert draw(panel.repartition(7, "period_month")) == first
+    if 1 < size < 399:
+        assert draw(panel, seed=7) != first
