@@ -6,7 +6,7 @@ SQL engine can reproduce.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revolva.functions import windows
@@ -23,22 +23,24 @@ def draw(seed: int, *keys: str) -> Column:
 def sample_exact(df: DataFrame, size: int, seed: int, *keys: str) -> DataFrame:
     """The ``size`` rows with the smallest draw; all rows of a smaller frame.
 
-    A histogram of draw prefixes finds the prefix in which the sample ends.
-    Only rows up to that prefix are sorted, about ``size`` plus one millionth
-    of the input, so no task holds more than that.
+    ``keys`` must be unique. A histogram of draw prefixes finds the prefix in
+    which the sample ends. Rows before it are in the sample, rows after it are
+    not, and the rows of each prefix, about a millionth of the input, are
+    ranked among themselves. Nothing is gathered in one task.
     """
-    tagged = df.withColumn("_draw", draw(seed, *keys))
-    prefix = F.substring("_draw", 1, _PREFIX)
-    histogram = tagged.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy("_prefix")))
-    last_prefix = (
-        histogram.select("_prefix", F.coalesce(running, F.lit(0)).alias("_before"))
+    tagged = df.withColumn("_draw", draw(seed, *keys)).withColumn("_prefix", F.substring("_draw", 1, _PREFIX))
+    counts = tagged.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy("_prefix")))
+    # The last prefix that is needed, and how many rows of it.
+    end = (
+        counts.select("_prefix", F.coalesce(earlier, F.lit(0)).alias("_before"))
         .where(F.col("_before") < size)
-        .agg(F.max("_prefix").alias("_last"))
+        .agg(F.max("_prefix").alias("_end"), (F.lit(size) - F.max("_before")).alias("_left"))
     )
+    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_draw", *keys))
     return (
-        tagged.where(prefix <= last_prefix.scalar())
-        .orderBy("_draw", *keys)
-        .limit(size)
-        .drop("_draw")
+        tagged.join(F.broadcast(end), F.col("_prefix") <= F.col("_end"))
+        .withColumn("_rank", rank)
+        .where((F.col("_prefix") < F.col("_end")) | (F.col("_rank") <= F.col("_left")))
+        .drop("_draw", "_prefix", "_end", "_left", "_rank")
     )

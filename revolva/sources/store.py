@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,7 @@ LINES_PER_BUCKET = 20_000_000
 MAX_BUCKETS = 20_000
 
 _stored: dict[tuple[str, str], Portfolio] = {}
+_lock = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -70,13 +72,17 @@ def _write_bucketed(df: DataFrame, table: str, name: str, folder: str, buckets:
 
 def load(spark: SparkSession, sf_dir: str) -> Portfolio:
     """The mapped portfolio of an order book, stored on first use."""
-    sc = spark.sparkContext
-    key = (sc.applicationId, sf_dir.rstrip("/"))
-    if key in _stored:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    with _lock:
+        if key not in _stored:
+            folder = shared_folder(spark)
+            if folder is None:
+                return derive(spark, sf_dir)
+            _stored[key] = _store(spark, key, folder)
         return _stored[key]
-    folder = shared_folder(spark)
-    if folder is None:
-        return derive(spark, sf_dir)
+
+
+def _store(spark: SparkSession, key: tuple[str, str], folder: str) -> Portfolio:
     digest = hashlib.md5("|".join(key).encode()).hexdigest()[:12]
     buckets = bucket_count(spark, spark.read.parquet(f"{key[1]}/lineitem.parquet").count())
 
@@ -85,16 +91,15 @@ def load(spark: SparkSession, sf_dir: str) -> Portfolio:
             df = df.repartition(buckets, CLUSTER_KEY[name])
         return _write_bucketed(df, f"revolva_{digest}_{name}", name, folder, buckets)
 
-    people = mapping.holders(spark, sf_dir)
+    people = mapping.holders(spark, key[1])
     customers, cards = store("customers", mapping.customers(people)), store("cards", mapping.cards(people))
     # Both sides of the join are spread over the buckets beforehand, so that the
     # joined statements are already where the write needs them.
-    act = mapping.activity(spark, sf_dir).repartition(buckets, "card_id")
+    act = mapping.activity(spark, key[1]).repartition(buckets, "card_id")
     stmts = store("statements", mapping.statements(people.repartition(buckets, "card_id"), act), clustered=True)
     losses = store("writeoffs", mapping.writeoffs(stmts))
     holders = store("holders", Portfolio(customers, cards, stmts, losses).holders)
-    _stored[key] = Portfolio(customers, cards, stmts, losses, holders)
-    return _stored[key]
+    return Portfolio(customers, cards, stmts, losses, holders)
 
 
 def load_dirty(spark: SparkSession, sf_dir: str) -> Portfolio:

@@ -14,10 +14,12 @@ TABLES = (
 ).split()
 
 
-def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def connect(sf_dir: str, files: str = "") -> duckdb.DuckDBPyConnection:
+    """A database with a view per table; ``files`` is the pattern of part files, if any."""
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        path = f"{sf_dir}/{t}.parquet" + (f"/{files}" if files else "")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     return con
 
 
