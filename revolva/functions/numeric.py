@@ -8,7 +8,7 @@ The dataframe-style variants round half to even, as numpy does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CANONICAL = "decimal(28,10)"
@@ -28,6 +28,11 @@ def fixed(c: Column | str, digits: int) -> Column:
     return F.round(canonical(c), digits).cast("double")
 
 
+def displayed(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """A frame with some columns rounded for output."""
+    return df.withColumns({c: fixed(c, digits) for c in columns})
+
+
 def half_even(c: Column | str, digits: int) -> Column:
     """Round half to even on the scaled double, as numpy does."""
     scale = float(10**digits)

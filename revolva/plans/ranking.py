@@ -27,12 +27,10 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str, group: str | No
     ``order`` must be a total order. With ``group``, ranks restart per group
     value; a group may still span many partitions.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_folder(df.sparkSession)
     keys = [F.col(group)] if group else []
     ordered = (
-        df.repartitionByRange(slices, *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_row", F.monotonically_increasing_id())
         .checkpoint()

@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revolva.functions.numeric import displayed
 from revolva.operators import (
     book,
     charts,
@@ -39,6 +40,9 @@ OVERVIEW_FILTERS = {
     "last_month": date(2023, 12, 1),
 }
 
+# Averages that the profile view leaves unrounded.
+PROFILE_AVERAGES = ("avg_utilization", "max_utilization", "avg_dpd", "avg_payment_ratio", "avg_balance")
+
 # Run on the portfolio with planted faults.
 ON_DIRTY = {
     "null_totals": load.null_totals,
@@ -72,7 +76,7 @@ ON_CLEAN = {
     # feature views
     "credit_utilization": features.credit_utilization,
     "payment_behavior": features.payment_behavior,
-    "customer_risk_profile": features.customer_risk_profile,
+    "customer_risk_profile": lambda p: displayed(features.customer_risk_profile(p), 6, *PROFILE_AVERAGES),
     "roll_rate_base": features.roll_rate_base,
     "vintage_base": features.vintage_base,
     "early_warning": features.early_warning,

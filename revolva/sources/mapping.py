@@ -8,7 +8,7 @@ quantities of the month, so all work grows with the order tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revolva.functions.bands import bucket_of
@@ -16,10 +16,10 @@ from revolva.functions.bands import bucket_of
 MONTHS = 30
 FIRST_SHIP_YEAR = 1995
 FIRST_YEAR = 2022
+DEFAULT_DPD = 90
 
 # Fixed values per risk profile: (base, slope) of the balance and payment shares in
 # basis points, and (days past due, exclusive upper bound of the hash) steps.
-PROFILES = ("low", "medium", "high", "distressed")
 BALANCE_SHARE = {"low": (500, 40), "medium": (2500, 45), "high": (5000, 45), "distressed": (7000, 40)}
 PAYMENT_SHARE = {"low": (7000, 40), "medium": (3000, 60), "high": (500, 55), "distressed": (0, 25)}
 DPD_STEPS = {
@@ -39,54 +39,51 @@ PRODUCT = {
 }
 
 
-def _scaled(value: Column, share: Column, base: int) -> Column:
-    """floor(value * share / base) in integers."""
-    return F.call_function("div", value.cast("bigint") * share, F.lit(base)).cast("int")
+def _case(column: str, branches: dict[str, str], other: str = "NULL") -> str:
+    whens = " ".join(f"WHEN '{label}' THEN {value}" for label, value in branches.items())
+    return f"CASE {column} {whens} ELSE {other} END"
 
 
-def _by_profile(values: dict[str, Column]) -> Column:
-    out = F.lit(None)
-    for profile in reversed(PROFILES):
-        out = F.when(F.col("profile") == profile, values[profile]).otherwise(out)
-    return out
+def _share(table: dict[str, tuple[int, int]], hashed: str) -> str:
+    return _case("profile", {p: f"{base} + {slope} * {hashed}" for p, (base, slope) in table.items()})
+
+
+def _ladder(steps: tuple[tuple[int, int], ...]) -> str:
+    whens = " ".join(f"WHEN h3 < {bound} THEN {days}" for days, bound in steps[:-1])
+    return f"CASE {whens} ELSE {steps[-1][0]} END"
 
 
 def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer: the customer and card columns plus the risk profile."""
-    read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    k = F.col("customer_id")
-    product = F.lit("business")
-    for segment, label in PRODUCT.items():
-        product = F.when(F.col("c_mktsegment") == segment, label).otherwise(product)
-    limit = F.lit(None)
-    for band, (base, spread) in LIMIT_RANGE.items():
-        limit = F.when(F.col("income_band") == band, base + (k * 29) % spread).otherwise(limit)
-    profile = (
-        F.when(k % 20 < 9, "low").when(k % 20 < 15, "medium").when(k % 20 < 18, "high").otherwise("distressed")
+    root = sf_dir.rstrip("/")
+    customer, nation, region = (
+        spark.read.parquet(f"{root}/{t}.parquet") for t in ("customer", "nation", "region")
+    )
+    product = _case("c_mktsegment", {segment: f"'{label}'" for segment, label in PRODUCT.items()}, "'business'")
+    limit = _case(
+        "income_band", {b: f"{base} + (card_id * 29) % {spread}" for b, (base, spread) in LIMIT_RANGE.items()}
     )
     return (
-        read("customer")
-        .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("c_custkey").cast("bigint").alias("customer_id"),
-            F.col("r_name").alias("region"),
-            F.when(F.col("c_acctbal") < 2800, "low")
-            .when(F.col("c_acctbal") < 7800, "medium")
-            .otherwise("high")
-            .alias("income_band"),
-            "c_mktsegment",
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .selectExpr(
+            "CAST(c_custkey AS BIGINT) AS card_id",
+            "r_name AS region",
+            "CASE WHEN c_acctbal < 2800 THEN 'low' WHEN c_acctbal < 7800 THEN 'medium' ELSE 'high' END"
+            " AS income_band",
+            f"{product} AS product_type",
         )
-        .select(
-            "customer_id",
+        .selectExpr(
+            "card_id AS customer_id",
             "region",
             "income_band",
-            (22 + (k * 7) % 43).cast("int").alias("age"),
-            (1 + (k * 3) % 14).cast("int").alias("tenure_years"),
-            k.alias("card_id"),
-            product.alias("product_type"),
-            (1000 * limit).cast("int").alias("credit_limit"),
-            profile.alias("profile"),
+            "CAST(22 + (card_id * 7) % 43 AS INT) AS age",
+            "CAST(1 + (card_id * 3) % 14 AS INT) AS tenure_years",
+            "card_id",
+            "product_type",
+            f"CAST(1000 * ({limit}) AS INT) AS credit_limit",
+            "CASE WHEN card_id % 20 < 9 THEN 'low' WHEN card_id % 20 < 15 THEN 'medium'"
+            " WHEN card_id % 20 < 18 THEN 'high' ELSE 'distressed' END AS profile",
         )
     )
 
@@ -121,54 +118,47 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statements(people: DataFrame, act: DataFrame) -> DataFrame:
-    k, idx, n, q = (F.col(c) for c in ("card_id", "idx", "n", "q"))
-    share = lambda table, h: _by_profile({p: F.lit(b) + F.lit(s) * h for p, (b, s) in table.items()})
-    steps = {}
-    for profile, table in DPD_STEPS.items():
-        dpd = F.lit(table[-1][0])
-        for days, bound in reversed(table[:-1]):
-            dpd = F.when(F.col("h3") < bound, days).otherwise(dpd)
-        steps[profile] = dpd
-    balance = F.when((k + idx) % 97 == 0, 0).otherwise(
-        _scaled(F.col("credit_limit"), share(BALANCE_SHARE, F.col("h1")), 10_000)
-    )
-    hashed = act.join(people.select("card_id", "credit_limit", "profile"), "card_id").select(
-        "card_id",
-        "idx",
-        "credit_limit",
-        "profile",
-        ((k * 31 + idx * 17 + n * 7 + q) % 100).alias("h1"),
-        ((k * 13 + idx * 29 + q * 3) % 100).alias("h2"),
-        ((k * 7 + idx * 11 + n * 5 + q * 13) % 100).alias("h3"),
-    )
-    sized = hashed.select(
-        "*", balance.cast("int").alias("statement_balance"), _by_profile(steps).cast("int").alias("days_past_due")
-    )
-    due = F.col("statement_balance")
-    return sized.select(
-        "card_id",
-        F.add_months(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), idx).alias("period_month"),
-        "statement_balance",
-        _scaled(due, F.lit(3), 100).alias("min_due"),
-        _scaled(due, share(PAYMENT_SHARE, F.col("h2")), 10_000).alias("paid_amount"),
-        "days_past_due",
-        bucket_of("days_past_due").alias("dpd_bucket"),
-        "credit_limit",
-        _scaled(due, 5 + F.col("h1") % 20, 100).alias("transaction_amount"),
+    """Balances, payments and days past due from three hashes of the month's activity."""
+    dpd = _case("profile", {p: _ladder(steps) for p, steps in DPD_STEPS.items()})
+    return (
+        act.join(people.select("card_id", "credit_limit", "profile"), "card_id")
+        .selectExpr(
+            "*",
+            "(card_id * 31 + idx * 17 + n * 7 + q) % 100 AS h1",
+            "(card_id * 13 + idx * 29 + q * 3) % 100 AS h2",
+            "(card_id * 7 + idx * 11 + n * 5 + q * 13) % 100 AS h3",
+        )
+        .selectExpr(
+            "*",
+            "IF((card_id + idx) % 97 = 0, 0, CAST(credit_limit AS BIGINT) *"
+            f" ({_share(BALANCE_SHARE, 'h1')}) DIV 10000) AS balance",
+            f"{dpd} AS dpd",
+        )
+        .select(
+            "card_id",
+            F.expr(f"add_months(make_date({FIRST_YEAR}, 1, 1), idx)").alias("period_month"),
+            F.expr("CAST(balance AS INT)").alias("statement_balance"),
+            F.expr("CAST(balance * 3 DIV 100 AS INT)").alias("min_due"),
+            F.expr(f"CAST(balance * ({_share(PAYMENT_SHARE, 'h2')}) DIV 10000 AS INT)").alias("paid_amount"),
+            F.col("dpd").alias("days_past_due"),
+            bucket_of("dpd").alias("dpd_bucket"),
+            "credit_limit",
+            F.expr("CAST(balance * (5 + h1 % 20) DIV 100 AS INT)").alias("transaction_amount"),
+        )
     )
 
 
 def writeoffs(stmts: DataFrame) -> DataFrame:
-    k = F.col("card_id")
-    worst = (
-        stmts.where(k % 3 != 0)
+    """Two thirds of the cards that ever defaulted, written off at their largest balance."""
+    return (
+        stmts.where("card_id % 3 <> 0")
         .groupBy("card_id")
         .agg(F.max("days_past_due").alias("worst"), F.max("statement_balance").alias("amount"))
-        .where((F.col("worst") >= 90) & (F.col("amount") > 0))
-    )
-    return worst.select(
-        "card_id",
-        F.col("amount").cast("int").alias("writeoff_amount"),
-        _scaled(F.col("amount"), (k * 37) % 41, 100).alias("recovery_amount"),
-        F.date_add(F.lit("2023-01-01").cast("date"), ((k * 53) % 731).cast("int")).alias("writeoff_date"),
+        .where(f"worst >= {DEFAULT_DPD} AND amount > 0")
+        .selectExpr(
+            "card_id",
+            "amount AS writeoff_amount",
+            "CAST(CAST(amount AS BIGINT) * ((card_id * 37) % 41) DIV 100 AS INT) AS recovery_amount",
+            "date_add(DATE '2023-01-01', CAST((card_id * 53) % 731 AS INT)) AS writeoff_date",
+        )
     )

@@ -44,8 +44,8 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def bucket_count(spark: SparkSession, lines: int) -> int:
-    """At least one bucket per shuffle partition, more as the data grows."""
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines / LINES_PER_BUCKET))
+    """At least one bucket per core, more as the data grows."""
+    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_BUCKET))
     return min(wanted, MAX_BUCKETS)
 
 
