@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,16 +114,16 @@ def final_summary(p: Portfolio, auc: DataFrame | None = None, cfg: RiskConfig =
         )
         .withColumn("el_rate", ratio("expected_loss", "portfolio_ead"))
     )
-    panel_size = p.statements.agg(
-        rows().alias("statements"),
-        F.min("period_month").alias("min_month"),
-        F.max("period_month").alias("max_month"),
-    )
-    parts = [
-        p.customers.agg(rows().alias("customers")),
-        p.cards.agg(rows().alias("cards")),
-        panel_size,
-        p.writeoffs.agg(rows().alias("writeoffs")),
-        risk,
-    ] + ([] if auc is None else [auc])
-    return reduce(lambda left, right: left.crossJoin(F.broadcast(right)), parts)
+    count = lambda df: df.select(rows().alias("n")).scalar()
+    months = lambda pick: p.statements.select(pick("period_month").alias("m")).scalar()
+    columns = {
+        "customers": count(p.customers),
+        "cards": count(p.cards),
+        "statements": count(p.statements),
+        "writeoffs": count(p.writeoffs),
+        "min_month": months(F.min),
+        "max_month": months(F.max),
+    }
+    if auc is not None:
+        columns["roc_auc"] = auc.scalar()
+    return risk.withColumns(columns)

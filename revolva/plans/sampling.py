@@ -32,15 +32,17 @@ def sample_exact(df: DataFrame, size: int, seed: int, *keys: str) -> DataFrame:
     counts = tagged.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy("_prefix")))
     # The last prefix that is needed, and how many rows of it.
-    end = (
+    cut = (
         counts.select("_prefix", F.coalesce(earlier, F.lit(0)).alias("_before"))
         .where(F.col("_before") < size)
-        .agg(F.max("_prefix").alias("_end"), (F.lit(size) - F.max("_before")).alias("_left"))
+        .select(F.struct(F.max("_prefix").alias("end"), (F.lit(size) - F.max("_before")).alias("left")).alias("cut"))
+        .scalar()
     )
+    end, left = cut.getField("end"), cut.getField("left")
     rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_draw", *keys))
     return (
-        tagged.join(F.broadcast(end), F.col("_prefix") <= F.col("_end"))
+        tagged.where(F.col("_prefix") <= end)
         .withColumn("_rank", rank)
-        .where((F.col("_prefix") < F.col("_end")) | (F.col("_rank") <= F.col("_left")))
-        .drop("_draw", "_prefix", "_end", "_left", "_rank")
+        .where((F.col("_prefix") < end) | (F.col("_rank") <= left))
+        .drop("_draw", "_prefix", "_rank")
     )
