@@ -5,13 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from revolva.llm import neardup
-from revolva.llm.session import table
+from revolva.llm import neardup, packing, records, token_counts, tokens
+from revolva.llm.session import scratch, table
 
 ORACLE: dict[str, str] = {}
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quick estimates first, then each is taken away and the exact count put in; replays count once."""
+    documents, path = table(spark, sf_dir, "documents"), tokens.vocabulary()
+    ledger = token_counts.Ledger(spark, scratch(spark, "ledger"))
+    guesses = token_counts.estimated(documents, "estimate")
+    ledger.commit("load", guesses)
+    ledger.commit("load", guesses)
+    exact = token_counts.counted(documents, path, tokens.BYTE_BPE)
+    revised = token_counts.estimated(documents, "estimate", -1).unionByName(exact)
+    ledger.commit("recount", revised)
+    ledger.commit("recount", revised)
+    return ledger.totals()
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, path = scratch(spark, "records"), tokens.vocabulary()
+    records.write_records(table(spark, sf_dir, "documents"), folder, path)
+    return records.read_records(records.read_index(spark, folder), folder, path, digest=True)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
