@@ -8,9 +8,12 @@ some chunk differs in at most ``ERRORS`` of them, since
 similarity of exactly 0.8 a pair is beyond the distance about once in a million.
 
 Texts with the same shingle set form a class, and only one of them goes on. In each key's
-bucket, all members are compared with one of them (no pairs within a bucket are listed).
-What remains are pairs of a bucket whose members are still in different components; these
-are listed too, so no link between components is lost. Links are confirmed on full sets.
+bucket, all members are compared with one hub, the member that meets most others over all
+its keys (no pairs within a bucket are listed). What remains are pairs of a bucket whose
+members are still in different components. A shingle that no other of the remaining texts
+has cannot be shared, which bounds the similarity of a text to any other; pairs within
+this exact bound are listed too. So no link between components is lost. Links are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -151,13 +154,15 @@ def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.mapInArrow(apart, "a long, b long")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, members) of the texts of ``ids`` (id). The list of ids grows with the corpus: it is never broadcast."""
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    found = docs.join(wanted, "doc_id", "left_semi")
+    return stored(found.mapInArrow(partial(_full_sets, shingle=shingle), "id long, members array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= ``percent`` * union of their full shingle sets."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(
-        docs.join(need, "doc_id", "left_semi").mapInArrow(partial(_full_sets, shingle=shingle), "id long, members array<long>"),
-        "sets",
-    )
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b"
     )
@@ -165,6 +170,15 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
     return both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b")
 
 
+def _shareable(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``mixed`` with the number of each text's shingles that another text of ``mixed`` has."""
+    ids = mixed.select("id").distinct()
+    each = sets.join(ids, "id", "left_semi").select("id", F.explode("members").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("texts")).where("texts = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    return mixed.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -184,26 +198,35 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         "classes",
     )
     keys = classes.select("id", "n", "signature").mapInArrow(_keys, _KEYS)
-    bucket = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    star = stored(keys.join(bucket.select("key", "hub"), "key"), "stars")
-
-    around = star.where("id <> hub.id").where(_alike("n", "hub.n", percent)).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-    links = stored(confirm(docs, stored(_near(around.distinct(), classes), "pairs"), shingle, percent), "links")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    star = stored(keys.join(shared, "key"), "stars")
+    weights = star.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = star.join(weights, "id").groupBy("key").agg(F.min(F.struct(-F.col("weight"), "id", "n")).alias("hub"))
+    star = stored(star.join(hubs.select("key", "hub.id", "hub.n").toDF("key", "hub", "hub_n"), "key"), "stars")
+    sets = full_sets(docs, star, shingle)
+
+    around = star.where("id <> hub").where(_alike("n", "hub_n", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    links = stored(confirm(_near(around.distinct(), classes), sets, percent), "links")
     labels = components(links)
 
     labelled = star.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "n", F.col("hub.id").alias("hub"), F.coalesce("component", "id").alias("label")
+        "key", "id", "n", "hub", F.coalesce("component", "id").alias("label")
     )
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     mixed = stored(labelled.join(split, "key", "left_semi").where("id <> hub"), "mixed")
-    a, b = mixed.alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & F.expr(_alike("a.n", "b.n", percent)))
+    open_ = stored(_shareable(mixed, sets).where(F.col("common") * 100 >= F.col("n") * percent), "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    most = "least(a.common, b.common)"
+    across = a.join(
+        b,
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.label") < F.col("b.label"))
+        & F.expr(f"100 * {most} >= {percent} * (a.n + b.n - {most})"),
+    )
     rest = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    rest = stored(_near(rest, classes), "pairs")
-    if not rest.isEmpty():
-        more = stored(confirm(docs, rest, shingle, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    more = stored(confirm(_near(rest, classes), sets, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     named = stored(
         classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
