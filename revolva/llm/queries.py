@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revolva.llm import decontamination, neardup, packing, records, secrets, token_counts, tokens, topk
+from revolva.llm import decontamination, neardup, packing, pii, records, secrets, token_counts, tokens, topk
 from revolva.llm.session import scratch, table
 
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(table(spark, sf_dir, "documents"))
 
