@@ -12,7 +12,7 @@ bucket, all members are compared with one hub, the member that meets most others
 its keys (no pairs within a bucket are listed). What remains are pairs of a bucket whose
 members are still in different components. A shingle that no other of the remaining texts
 has cannot be shared, which bounds the similarity of a text to any other; pairs within
-this exact bound are listed too. So no link between components is lost. Links are
+this exact bound are compared as well. So no link between components is lost. Links are
 confirmed on full sets.
 """
 
@@ -179,6 +179,24 @@ def _shareable(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return mixed.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
 
 
+def _across(undecided: DataFrame, percent: int) -> DataFrame:
+    """Links between texts of one hub that are in different components so far.
+
+    Pairs are compared inside the join, first by the bound and then in full, so that only
+    links are rows. Both sides are shuffled by the hub and hot hubs can be split.
+    """
+    a, b = undecided.alias("a"), undecided.alias("b")
+    most, shared = "least(a.common, b.common)", "size(array_intersect(a.members, b.members))"
+    alike = " and ".join(
+        [
+            "a.hub = b.hub and a.label < b.label",
+            f"100 * {most} >= {percent} * (a.n + b.n - {most})",
+            f"100 * {shared} >= {percent} * (a.n + b.n - {shared})",
+        ]
+    )
+    return a.join(b, F.expr(alike)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -213,18 +231,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         "key", "id", "n", "hub", F.coalesce("component", "id").alias("label")
     )
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    mixed = stored(labelled.join(split, "key", "left_semi").where("id <> hub"), "mixed")
-    open_ = stored(_shareable(mixed, sets).where(F.col("common") * 100 >= F.col("n") * percent), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    most = "least(a.common, b.common)"
-    across = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.label") < F.col("b.label"))
-        & F.expr(f"100 * {most} >= {percent} * (a.n + b.n - {most})"),
-    )
-    rest = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    more = stored(confirm(_near(rest, classes), sets, percent), "links")
+    mixed = labelled.join(split, "key", "left_semi").where("id <> hub").select("hub", "id", "n", "label").distinct()
+    undecided = _shareable(stored(mixed, "mixed"), sets).where(F.col("common") * 100 >= F.col("n") * percent)
+    more = stored(_across(stored(undecided.join(sets, "id"), "undecided"), percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
