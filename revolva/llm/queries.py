@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revolva.llm import decontamination, neardup, packing, pii, records, secrets, token_counts, tokens, topk
+from revolva.llm import decontamination, labelled, neardup, packing, pii, quality, records, secrets, token_counts, tokens, topk, toxicity
 from revolva.llm.session import scratch, table
 
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def _judged(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        F.coalesce(labelled.fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 5) != 0)
+    return _judged(quality.scored(documents, model), 5, 0, quality.THRESHOLD)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)
 
@@ -64,6 +80,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 4) != 2)
+    return _judged(toxicity.scored(documents, model), 4, 2, toxicity.THRESHOLD)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
