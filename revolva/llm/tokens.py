@@ -11,8 +11,10 @@ Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +23,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces that a worker remembers (about 250 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space and format characters but blank, tab, line feed and carriage return.
@@ -38,21 +40,31 @@ class Encoder:
         self._ids: dict[str, bytes] = {}
         self.wide = self._tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self._code = "I" if self.wide else "H"
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text: two bytes an id, four for vocabularies above 65,536."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles: collections would only cost time
+        try:
+            return self._batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
         cut = [None if t and _UNUSUAL.search(t) else _PIECE.findall(t or "") for t in texts]
         known = self._ids
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set().union(*(c for c in cut if c)).difference(known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, self.dtype).tobytes()
+        for at in range(0, len(new), 4000):
+            some = new[at : at + 4000]
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            known.update(zip(some, [array(self._code, i).tobytes() for i in ids]))
         look = known.__getitem__
         return [self.whole(t).tobytes() if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
 
