@@ -167,12 +167,31 @@ def charts() -> dict[str, str]:
 
 def exports() -> dict[str, str]:
     return {
-        "export_portfolio": compose("SELECT * FROM t1", "t1"),
+        "export_portfolio": compose("SELECT * FROM wide", "wide"),
+        "export_sample": compose("SELECT * FROM t1", "t1"),
         "export_monthly": compose(MONTHLY),
         "export_vintage": compose(CURVES, "aged"),
         "export_roll": compose(ROLL_LONG, "moves"),
         "export_segments": compose("SELECT * FROM segments", "segments"),
         "export_expected_loss": compose("SELECT * FROM el_wide", "el_wide"),
+        "score_auc": compose(
+            f"""
+            SELECT {rnd('CAST(sum(CASE WHEN a.pd_score > b.pd_score THEN 2 WHEN a.pd_score = b.pd_score THEN 1 ELSE 0 END * a.n * b.n) AS DOUBLE) / (2 * sum(a.n * b.n))', 8)} AS roc_auc
+            FROM (SELECT pd_score, count(*) AS n FROM scores WHERE default_flag = 1 GROUP BY ALL) a,
+                 (SELECT pd_score, count(*) AS n FROM scores WHERE default_flag = 0 GROUP BY ALL) b""",
+            "scores",
+        ),
+        "score_roc": compose(
+            """
+            SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+            UNION ALL
+            SELECT t.pd_score, CAST((SELECT count(*) FROM scores s WHERE default_flag = 0 AND s.pd_score >= t.pd_score) AS DOUBLE)
+                     / (SELECT count(*) FROM scores WHERE default_flag = 0),
+                   CAST((SELECT count(*) FROM scores s WHERE default_flag = 1 AND s.pd_score >= t.pd_score) AS DOUBLE)
+                     / (SELECT count(*) FROM scores WHERE default_flag = 1)
+            FROM (SELECT DISTINCT pd_score FROM scores) t""",
+            "scores",
+        ),
         "final_summary_core": compose(
             f"""
             SELECT (SELECT count(*) FROM customers) AS customers, (SELECT count(*) FROM cards) AS cards,
@@ -199,16 +218,16 @@ def dashboards() -> dict[str, str]:
             f"""
             SELECT {total('statement_balance')} AS total_exposure, avg(is_delinquent) AS delinquency_rate,
                    avg(is_default) AS default_rate, {mean4('utilization')} AS avg_utilization
-            FROM t1 WHERE region IN ('ASIA', 'EUROPE') AND income_band IN ('low', 'medium')
-              AND period_month BETWEEN DATE '2022-06-01' AND DATE '2023-12-01'""",
-            "t1",
+            FROM wide WHERE region IN ('ASIA', 'EUROPE') AND income_band IN ('low', 'medium')
+              AND product_type IN ('classic', 'premium') AND period_month BETWEEN DATE '2022-06-01' AND DATE '2023-12-01'""",
+            "wide",
         ),
         "bi_overview_breakdown": compose(
             " UNION ALL ".join(
-                f"SELECT '{c}' AS dimension, {c} AS label, count(*) AS accounts FROM t1 GROUP BY ALL"
+                f"SELECT '{c}' AS dimension, {c} AS label, count(*) AS accounts FROM wide GROUP BY ALL"
                 for c in ("dpd_bucket", "util_band", "payment_type")
             ),
-            "t1",
+            "wide",
         ),
         "bi_running_avg_mom": compose(f"""
             SELECT period_month, {rnd('del_rate', 8)} AS del_rate, {rnd('r', 8)} AS running_avg,

@@ -79,8 +79,9 @@ def quality() -> dict[str, str]:
 
     mismatch = " OR ".join(
         f"(days_past_due BETWEEN {lo} AND {hi} AND dpd_bucket <> '{b}')"
-        for b, lo, hi in (("0", 0, 0), ("1-29", 1, 29), ("30-59", 30, 59), ("60-89", 60, 89), ("90+", 90, 99999))
+        for b, lo, hi in (("0", 0, 0), ("1-29", 1, 29), ("30-59", 30, 59), ("60-89", 60, 89))
     )
+    mismatch += " OR (days_past_due >= 90 AND dpd_bucket <> '90+')"
     bodies = {
         "dq_null_customers": nulls(
             "customers", {"customer_id": "customer_id", "region": "region", "income_band": "income_band"}

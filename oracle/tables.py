@@ -3,77 +3,56 @@
 from __future__ import annotations
 
 from oracle.sql import DEFAULT, LATE, LGD, PAYMENT_TYPE, PAYR, UTIL, EAD, even, mean4, score
-from revolva.sources import mapping as m
 
-
-def _when(column: str, values: dict, render, other: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {render(v)}" for k, v in values.items()) + f" ELSE {other} END"
-
-
-def _steps(table) -> str:
-    *first, (last, _) = table
-    return "CASE " + " ".join(f"WHEN h3 < {bound} THEN {days}" for days, bound in first) + f" ELSE {last} END"
-
-
-_share = lambda h: lambda v: f"{v[0]} + {v[1]} * {h}"
-_LIMIT = _when("income_band", m.LIMIT_RANGE, lambda v: f"{v[0]} + (k * 29) % {v[1]}")
-_PRODUCT = _when("c_mktsegment", m.PRODUCT, lambda v: f"'{v}'", "'business'")
-_BALANCE = _when("profile", m.BALANCE_SHARE, _share("h1"))
-_PAID = _when("profile", m.PAYMENT_SHARE, _share("h2"))
-_DPD = _when("profile", m.DPD_STEPS, _steps)
-
-PEOPLE = f"""
+PEOPLE = """
 people AS (
-  SELECT *, CAST(1000 * ({_LIMIT}) AS INT) AS credit_limit
-  FROM (
-    SELECT CAST(c_custkey AS BIGINT) AS k, r_name AS region, {_PRODUCT} AS product_type,
-           CASE WHEN c_acctbal < 2800 THEN 'low' WHEN c_acctbal < 7800 THEN 'medium' ELSE 'high' END AS income_band,
-           CASE WHEN c_custkey % 20 < 9 THEN 'low' WHEN c_custkey % 20 < 15 THEN 'medium'
-                WHEN c_custkey % 20 < 18 THEN 'high' ELSE 'distressed' END AS profile
-    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-  )
+  SELECT k, r_name AS region, CAST(15000 + 1000 * ((worth + 1000) // 150) AS INT) AS credit_limit, worth, c_nationkey,
+         CASE c_mktsegment WHEN 'BUILDING' THEN 'classic' WHEN 'FURNITURE' THEN 'classic' WHEN 'MACHINERY' THEN 'premium'
+              WHEN 'HOUSEHOLD' THEN 'platinum' ELSE 'business' END AS product_type,
+         CASE WHEN c_acctbal >= 7800 THEN 'high' WHEN c_acctbal >= 2800 THEN 'medium' ELSE 'low' END AS income_band
+  FROM (SELECT *, CAST(c_custkey AS BIGINT) AS k, CAST(floor(c_acctbal) AS BIGINT) AS worth FROM customer)
+  JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 )"""
 
 _CUSTOMERS = """
 {name} AS (
   SELECT k AS customer_id, region, income_band,
-         CAST(22 + (k * 7) % 43 AS INT) AS age, CAST(1 + (k * 3) % 14 AS INT) AS tenure_years
+         CAST(abs(worth) % 40 + 25 AS INT) AS age, CAST(c_nationkey % 12 + 1 AS INT) AS tenure_years
   FROM people
 )"""
 _CARDS = "\n{name} AS (SELECT k AS card_id, k AS customer_id, product_type, credit_limit FROM people)"
-_STATEMENTS = f"""
-hashed AS (
-  SELECT k, idx, credit_limit, profile,
-         (k * 31 + idx * 17 + n * 7 + q) % 100 AS h1,
-         (k * 13 + idx * 29 + q * 3) % 100 AS h2,
-         (k * 7 + idx * 11 + n * 5 + q * 13) % 100 AS h3
-  FROM people JOIN (
-    SELECT o_custkey, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1) % 30 AS idx,
-           count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    GROUP BY ALL
-  ) ON o_custkey = k
+_STATEMENTS = """
+folded AS (
+  SELECT o_custkey, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1) % 30 AS idx,
+         CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS gross,
+         CAST(coalesce(sum(CAST(floor(l_extendedprice) AS BIGINT)) FILTER (l_returnflag IS DISTINCT FROM 'R'), 0) AS BIGINT) AS net,
+         max(CAST(round(l_discount * 100) AS INT)) AS discount, max(CAST(round(l_tax * 100) AS INT)) AS tax
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  GROUP BY ALL
 ),
 sized AS (
-  SELECT *, CASE WHEN (k + idx) % 97 = 0 THEN 0 ELSE credit_limit * ({_BALANCE}) // 10000 END AS balance,
-         {_DPD} AS dpd
-  FROM hashed
+  SELECT k, idx, credit_limit, gross, net // 3 AS balance, greatest(12 * discount - 4 * tax - 10, 0) AS percent,
+         greatest(20 * tax - 10 * discount
+                  - CASE WHEN worth < 0 THEN 0 WHEN worth < 2800 THEN 65 WHEN worth < 7800 THEN 90 ELSE 120 END, 0) AS dpd
+  FROM people JOIN folded ON o_custkey = k
 ),
-{{name}} AS (
+{name} AS (
   SELECT k AS card_id, CAST(make_date(2022 + idx // 12, idx % 12 + 1, 1) AS DATE) AS period_month,
-         CAST(balance AS INT) AS statement_balance, CAST(balance * 3 // 100 AS INT) AS min_due,
-         CAST(balance * ({_PAID}) // 10000 AS INT) AS paid_amount, CAST(dpd AS INT) AS days_past_due,
+         CAST(balance AS INT) AS statement_balance, CAST(balance // 40 AS INT) AS min_due,
+         CAST(balance * percent // 100 AS INT) AS paid_amount, CAST(dpd AS INT) AS days_past_due,
          CASE WHEN dpd = 0 THEN '0' WHEN dpd < 30 THEN '1-29' WHEN dpd < 60 THEN '30-59'
               WHEN dpd < 90 THEN '60-89' ELSE '90+' END AS dpd_bucket,
-         credit_limit, CAST(balance * (5 + h1 % 20) // 100 AS INT) AS transaction_amount
+         credit_limit, CAST(gross // 10 AS INT) AS transaction_amount
   FROM sized
 )"""
 _WRITEOFFS = """
 {name} AS (
-  SELECT card_id, amount AS writeoff_amount, CAST(amount::BIGINT * ((card_id * 37) % 41) // 100 AS INT) AS recovery_amount,
-         CAST(DATE '2023-01-01' + CAST((card_id * 53) % 731 AS INT) AS DATE) AS writeoff_date
-  FROM (SELECT card_id, max(statement_balance) AS amount FROM {stmts}
-        GROUP BY card_id HAVING max(days_past_due) >= 90 AND card_id % 3 <> 0)
+  SELECT card_id, amount AS writeoff_amount, CAST(least(amount::BIGINT, amount * paid // (owed * 2)) AS INT) AS recovery_amount,
+         CAST(defaulted + INTERVAL 6 MONTH AS DATE) AS writeoff_date
+  FROM (SELECT card_id, max(statement_balance) AS amount, CAST(sum(paid_amount) AS BIGINT) AS paid,
+               CAST(sum(statement_balance) AS BIGINT) AS owed,
+               min(period_month) FILTER (days_past_due >= 90) AS defaulted
+        FROM {stmts} GROUP BY card_id HAVING max(days_past_due) >= 95)
   WHERE amount > 0
 )"""
 
@@ -246,7 +225,7 @@ SHARED = {
         """t1 AS (
   SELECT * FROM wide
   ORDER BY md5('42|' || CAST(card_id AS VARCHAR) || '|' || strftime(period_month, '%Y-%m-%d')), card_id, period_month
-  LIMIT 200000
+  LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM wide)
 )""",
     ),
 }

@@ -32,7 +32,6 @@ class RiskConfig:
     streak_months: int = 3
     origination_mob: int = 1
     key_mobs: tuple[int, ...] = (6, 12, 18, 24)
-    export_sample: int = 200_000
     seed: int = 42
     test_share: float = 0.2
     score: LogisticScore = field(default_factory=LogisticScore)

@@ -23,8 +23,8 @@ def filtered_overview(
     first_month: date | None = None,
     last_month: date | None = None,
 ) -> DataFrame:
-    """The overview extract under the dashboard's filters."""
-    df = exports.portfolio_sample(p)
+    """The whole master table under the dashboard's filters."""
+    df = frames.master_features(p)
     for name, wanted in (("region", regions), ("income_band", income_bands), ("product_type", product_types)):
         if wanted is not None:
             df = df.where(F.col(name).isin(wanted))

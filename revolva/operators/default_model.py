@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revolva.config import DEFAULTS, RiskConfig
-from revolva.functions.numeric import ratio, rows
+from revolva.functions import windows
+from revolva.functions.numeric import fixed, ratio, rows
 from revolva.operators import frames
 from revolva.plans import ranking, sampling
 from revolva.plans.portfolio import Portfolio
@@ -92,7 +93,7 @@ def scaled(m: FittedModel) -> DataFrame:
     both = m.stages.transform(m.train.unionByName(m.test))
     values = vector_to_array("features")
     return both.select(
-        "card_id", "split", *[F.round(values[i], 6).alias(f"z_{name}") for i, name in enumerate(FEATURES)]
+        "card_id", "split", *[fixed(values[i], 6).alias(f"z_{name}") for i, name in enumerate(FEATURES)]
     )
 
 
@@ -171,11 +172,42 @@ def report(m: FittedModel) -> DataFrame:
     return cells.select(F.inline(F.array(*lines)))
 
 
+def roc_curve(scores: DataFrame) -> DataFrame:
+    """ROC points of (label, score): one for each threshold of four decimals, and the origin.
+
+    At most 10,001 thresholds at any number of rows.
+    """
+    steps = scores.groupBy(F.rint(F.col("score") * 10_000).cast("int").alias("step")).agg(
+        F.count_if(F.col("label") == 1).alias("hits"), F.count_if(F.col("label") == 0).alias("alarms")
+    )
+    falling = windows.all_groups().orderBy(F.desc("step"))
+    share = lambda c: ratio(F.sum(c).over(windows.up_to_now(falling)), F.sum(c).over(windows.all_groups()))
+    points = steps.select(
+        (F.col("step") / 10_000).alias("threshold"), share("alarms").alias("fpr"), share("hits").alias("tpr")
+    )
+    origin = scores.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return origin.unionByName(points).orderBy("fpr", "tpr")
+
+
 def roc(m: FittedModel) -> DataFrame:
     """Points of the ROC curve on the held-out cards."""
-    df = m.test
-    for step in m.stages.stages[:-1]:
-        df = step.transform(df)
-    points = m.stages.stages[-1].evaluate(df).roc
-    return points.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
+    return roc_curve(predictions(m).withColumnRenamed("probability", "score"))
 
+
+def score_roc(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    """ROC curve of the behavioural score against the default flag."""
+    return roc_curve(frames.pd_scores(p, cfg).select(F.col(LABEL).alias("label"), F.col("pd_score").alias("score")))
+
+
+def score_auc(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    """Area under that curve: the chance that a defaulted card scores above another, ties count half."""
+    steps = frames.pd_scores(p, cfg).groupBy("pd_score").agg(
+        F.count_if(F.col(LABEL) == 1).alias("hits"), F.count_if(F.col(LABEL) == 0).alias("others")
+    )
+    # Scores have four decimals: at most 10,001 groups.
+    below = F.coalesce(F.sum("others").over(windows.before_now(windows.all_groups().orderBy("pd_score"))), F.lit(0))
+    return (
+        steps.select("hits", "others", (F.col("hits") * (2 * below + F.col("others"))).alias("won"))
+        .agg(F.sum("won").alias("won"), F.sum("hits").alias("hits"), F.sum("others").alias("others"))
+        .select(fixed(ratio("won", 2 * F.col("hits") * F.col("others")), 8).alias("roc_auc"))
+    )

@@ -16,12 +16,17 @@ from revolva.plans.portfolio import Portfolio
 from revolva.sources.readers import write_csv
 
 
-def portfolio_sample(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """A uniform sample of the master table, or all of it when it is smaller.
+def portfolio(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    """The whole master table with its features."""
+    return frames.master_features(p, cfg)
+
+
+def portfolio_sample(p: Portfolio, share: float, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    """A uniform sample of the master table, for tools that cannot hold all of it.
 
     Statements are drawn first; only the drawn ones are widened and joined.
     """
-    drawn = sampling.sample_exact(p.statements, cfg.export_sample, cfg.seed, "card_id", "period_month")
+    drawn = sampling.sample_share(p.statements, share, cfg.seed, "card_id", "period_month")
     return frames.with_dimensions(frames.features(drawn, cfg), p)
 
 
@@ -82,7 +87,7 @@ def expected_loss(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
 
 
 EXPORTS = {
-    "T1_portfolio_overview": portfolio_sample,
+    "T1_portfolio_overview": portfolio,
     "T2_monthly_trend": monthly_trend,
     "T3_vintage_curves": vintage_curves,
     "T4_roll_rate_matrix": roll_rates,

@@ -92,8 +92,8 @@ def kpi_summary(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     )
 
 
-def card_features(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    return features(p.statements, cfg).groupBy("card_id").agg(
+def _card_measures() -> list[Column]:
+    return [
         mean4("utilization").alias("avg_util"),
         F.max("utilization").alias("max_util"),
         F.avg("days_past_due").alias("avg_dpd"),
@@ -102,12 +102,17 @@ def card_features(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         mean4("payment_ratio").alias("avg_pay_ratio"),
         F.avg("revolving_balance").alias("avg_rev_bal"),
         F.max("is_default").alias("default_flag"),
-        F.count_distinct("period_month").alias("months_on_book"),
-    )
+        # A panel has one statement per card and month.
+        F.count("period_month").alias("months_on_book"),
+    ]
 
 
-def pd_scores(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """Card features with the capped score."""
+def card_features(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    return features(p.statements, cfg).groupBy("card_id").agg(*_card_measures())
+
+
+def _score(cfg: RiskConfig) -> Column:
+    """The capped score from card measures."""
     driver = risk_driver(
         _clip(F.col("avg_util"), 0.0, 1.0),
         F.col("avg_dpd"),
@@ -115,7 +120,12 @@ def pd_scores(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         _clip(F.col("avg_pay_ratio"), 0.0, 1.0),
         cfg,
     )
-    return card_features(p, cfg).withColumn("pd_score", half_even(logistic(driver), 4))
+    return half_even(logistic(driver), 4)
+
+
+def pd_scores(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+    """Card features with the capped score."""
+    return card_features(p, cfg).withColumn("pd_score", _score(cfg))
 
 
 def pd_score(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
@@ -223,7 +233,12 @@ def ead_summary(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
 
 
 def expected_loss(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """Every card with a score; exposure is NULL without a statement in the last month."""
+    """Every card with a score; exposure is NULL without a statement in the last month.
+
+    Score and exposure come from one pass over the statements.
+    """
+    in_last_month = F.col("period_month") == p.latest_month()
+    exposure = F.max(F.when(in_last_month, half_even(exposure_at_default(cfg.ccf), 0))).alias("ead")
     mean_lgd = writeoff_lgd(p).select(mean4("lgd").alias("lgd")).scalar()
     stage = (
         F.when(F.col("max_dpd") >= cfg.default_dpd, "Stage 3")
@@ -231,9 +246,10 @@ def expected_loss(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .otherwise("Stage 1")
     )
     return (
-        pd_scores(p, cfg)
-        .select("card_id", "pd_score", "max_dpd")
-        .join(latest_ead(p, cfg).select("card_id", "ead"), "card_id", "left")
+        features(p.statements, cfg)
+        .groupBy("card_id")
+        .agg(*_card_measures(), exposure)
+        .withColumn("pd_score", _score(cfg))
         .withColumn("lgd", mean_lgd)
         .select(
             "card_id",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from revolva.functions import windows
 
-# Five hexadecimal digits: at most 1,048,576 histogram rows at any data size.
-_PREFIX = 5
+# Hexadecimal digits of a level: a histogram has at most 4,096 rows at any data size.
+_DIGITS = 3
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -20,29 +20,46 @@ def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def sample_exact(df: DataFrame, size: int, seed: int, *keys: str) -> DataFrame:
+def _cut(df: DataFrame, prefix: str, left: Column) -> Column:
+    """(end, left): the last prefix that ``left`` rows reach into, and how many of its rows."""
+    counts = df.groupBy(prefix).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy(prefix)))
+    return (
+        counts.select(prefix, F.coalesce(earlier, F.lit(0)).alias("_before"))
+        .where(F.col("_before") < left)
+        .select(F.struct(F.max(prefix).alias("end"), (left - F.max("_before")).alias("left")).alias("cut"))
+        .scalar()
+    )
+
+
+def sample_share(df: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:
+    """Exactly that share of the rows, rounded down."""
+    size = df.select(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n")).scalar()
+    return sample_exact(df, size, seed, *keys)
+
+
+def sample_exact(df: DataFrame, size: int | Column, seed: int, *keys: str) -> DataFrame:
     """The ``size`` rows with the smallest draw; all rows of a smaller frame.
 
-    ``keys`` must be unique. A histogram of draw prefixes finds the prefix in
-    which the sample ends. Rows before it are in the sample, rows after it are
-    not, and the rows of each prefix, about a millionth of the input, are
-    ranked among themselves. Nothing is gathered in one task.
+    ``keys`` must be unique. A histogram of draw prefixes finds the prefix in which
+    the sample ends, a second one refines it. Rows before are in, rows after are
+    out, and only the rows of the last prefix, one in 16 million, are ranked.
     """
-    tagged = df.withColumn("_draw", draw(seed, *keys)).withColumn("_prefix", F.substring("_draw", 1, _PREFIX))
-    counts = tagged.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = F.sum("_n").over(windows.before_now(windows.all_groups().orderBy("_prefix")))
-    # The last prefix that is needed, and how many rows of it.
-    cut = (
-        counts.select("_prefix", F.coalesce(earlier, F.lit(0)).alias("_before"))
-        .where(F.col("_before") < size)
-        .select(F.struct(F.max("_prefix").alias("end"), (F.lit(size) - F.max("_before")).alias("left")).alias("cut"))
-        .scalar()
+    tagged = df.withColumn("_draw", draw(seed, *keys))
+    tagged = tagged.withColumns(
+        {"_first": F.substring("_draw", 1, _DIGITS), "_second": F.substring("_draw", _DIGITS + 1, _DIGITS)}
     )
-    end, left = cut.getField("end"), cut.getField("left")
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_draw", *keys))
-    return (
-        tagged.where(F.col("_prefix") <= end)
+    first = _cut(tagged, "_first", F.lit(size) if isinstance(size, int) else size)
+    last = tagged.where(F.col("_first") == first.getField("end"))
+    second = _cut(last, "_second", first.getField("left"))
+    whole = (F.col("_first") < first.getField("end")) | (
+        (F.col("_first") == first.getField("end")) & (F.col("_second") < second.getField("end"))
+    )
+    rank = F.row_number().over(Window.partitionBy("_second").orderBy("_draw", *keys))
+    border = (
+        last.where(F.col("_second") == second.getField("end"))
         .withColumn("_rank", rank)
-        .where((F.col("_prefix") < end) | (F.col("_rank") <= left))
-        .drop("_draw", "_prefix", "_rank")
+        .where(F.col("_rank") <= second.getField("left"))
+        .drop("_rank")
     )
+    return tagged.where(whole).unionByName(border).drop("_draw", "_first", "_second")

@@ -36,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 OVERVIEW_FILTERS = {
     "regions": ["ASIA", "EUROPE"],
     "income_bands": ["low", "medium"],
+    "product_types": ["classic", "premium"],
     "first_month": date(2022, 6, 1),
     "last_month": date(2023, 12, 1),
 }
@@ -192,7 +193,8 @@ ON_CLEAN = {
     "region_util": charts.region_util,
     "income_util": charts.income_util,
     # extracts
-    "export_portfolio": exports.portfolio_sample,
+    "export_portfolio": exports.portfolio,
+    "export_sample": partial(exports.portfolio_sample, share=0.1),
     "export_monthly": exports.monthly_trend,
     "export_vintage": exports.vintage_curves,
     "export_roll": exports.roll_rates,
@@ -218,6 +220,9 @@ ON_CLEAN = {
     # default model, up to the fit
     "class_balance": default_model.class_balance,
     "default_model_split": default_model.split,
+    # evaluation of the behavioural score, which SQL can express
+    "score_auc": default_model.score_auc,
+    "score_roc": default_model.score_roc,
 }
 
 # Run on the model fitted to the clean portfolio.

@@ -1,9 +1,9 @@
 """Deterministic mapping from the order tables to a card portfolio.
 
 A customer becomes a customer with one card; its shipped order lines, folded
-into 30 months, become the card's monthly statements. Only integer arithmetic
-is used. Balances, payments and days past due follow from the counts and
-quantities of the month, so all work grows with the order tables.
+into 30 months, become the card's monthly statements: what was kept is the
+balance, discounts pay it, taxes delay it, and the account balance sets limit
+and punctuality. Only whole numbers are used, so all engines agree.
 """
 
 from __future__ import annotations
@@ -17,20 +17,12 @@ MONTHS = 30
 FIRST_SHIP_YEAR = 1995
 FIRST_YEAR = 2022
 DEFAULT_DPD = 90
+WRITEOFF_DPD = 95
 
-# Fixed values per risk profile: (base, slope) of the balance and payment shares in
-# basis points, and (days past due, exclusive upper bound of the hash) steps.
-BALANCE_SHARE = {"low": (500, 40), "medium": (2500, 45), "high": (5000, 45), "distressed": (7000, 40)}
-PAYMENT_SHARE = {"low": (7000, 40), "medium": (3000, 60), "high": (500, 55), "distressed": (0, 25)}
-DPD_STEPS = {
-    "low": ((0, 85), (5, 93), (10, 98), (30, 100)),
-    "medium": ((0, 60), (10, 80), (30, 92), (45, 97), (60, 100)),
-    "high": ((0, 35), (10, 55), (30, 75), (45, 85), (60, 93), (75, 97), (90, 100)),
-    "distressed": ((0, 10), (15, 20), (30, 40), (45, 60), (60, 75), (75, 85), (90, 95), (120, 100)),
-}
-# Fixed values per income band: (base, spread) of the limit in thousands.
-LIMIT_RANGE = {"low": (10, 70), "medium": (50, 200), "high": (150, 650)}
-# Product per market segment, anything else is a business card.
+# The rules of this mapping; the SQL equivalents state them on their own.
+BALANCE_DIVISOR = 3
+MIN_DUE_DIVISOR = 40
+# Product per market segment, anything else is a business card.
 PRODUCT = {
     "BUILDING": "classic",
     "FURNITURE": "classic",
@@ -44,25 +36,13 @@ def _case(column: str, branches: dict[str, str], other: str = "NULL") -> str:
     return f"CASE {column} {whens} ELSE {other} END"
 
 
-def _share(table: dict[str, tuple[int, int]], hashed: str) -> str:
-    return _case("profile", {p: f"{base} + {slope} * {hashed}" for p, (base, slope) in table.items()})
-
-
-def _ladder(steps: tuple[tuple[int, int], ...]) -> str:
-    whens = " ".join(f"WHEN h3 < {bound} THEN {days}" for days, bound in steps[:-1])
-    return f"CASE {whens} ELSE {steps[-1][0]} END"
-
-
 def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer: the customer and card columns plus the risk profile."""
+    """One row per customer: the customer and card columns, and how punctual it pays."""
     root = sf_dir.rstrip("/")
     customer, nation, region = (
         spark.read.parquet(f"{root}/{t}.parquet") for t in ("customer", "nation", "region")
     )
     product = _case("c_mktsegment", {segment: f"'{label}'" for segment, label in PRODUCT.items()}, "'business'")
-    limit = _case(
-        "income_band", {b: f"{base} + (card_id * 29) % {spread}" for b, (base, spread) in LIMIT_RANGE.items()}
-    )
     return (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -72,18 +52,19 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CASE WHEN c_acctbal < 2800 THEN 'low' WHEN c_acctbal < 7800 THEN 'medium' ELSE 'high' END"
             " AS income_band",
             f"{product} AS product_type",
+            "CAST(floor(c_acctbal) AS BIGINT) AS worth",
+            "CAST(c_nationkey AS BIGINT) AS nation",
         )
         .selectExpr(
             "card_id AS customer_id",
             "region",
             "income_band",
-            "CAST(22 + (card_id * 7) % 43 AS INT) AS age",
-            "CAST(1 + (card_id * 3) % 14 AS INT) AS tenure_years",
+            "CAST(25 + abs(worth) % 40 AS INT) AS age",
+            "CAST(1 + nation % 12 AS INT) AS tenure_years",
             "card_id",
             "product_type",
-            f"CAST(1000 * ({limit}) AS INT) AS credit_limit",
-            "CASE WHEN card_id % 20 < 9 THEN 'low' WHEN card_id % 20 < 15 THEN 'medium'"
-            " WHEN card_id % 20 < 18 THEN 'high' ELSE 'distressed' END AS profile",
+            "CAST(1000 * (15 + (worth + 1000) DIV 150) AS INT) AS credit_limit",
+            "CASE WHEN worth < 0 THEN 0 WHEN worth < 2800 THEN 13 WHEN worth < 7800 THEN 18 ELSE 24 END AS punctual",
         )
     )
 
@@ -99,68 +80,75 @@ def cards(people: DataFrame) -> DataFrame:
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped lines per customer and folded month.
 
-    Lines are combined per order and month before the join, and per customer
-    and month after it, each time ahead of the shuffle. An order or a customer
-    that owns a large share of all lines is thus never more than one row per
-    month and task.
+    The lines are shuffled once, by their order; a hot order is a skewed join
+    that can be split, as its group is formed after it. A customer that owns a
+    large share of all lines is one row per month and task in the second shuffle.
     """
     root = sf_dir.rstrip("/")
-    month = F.expr(f"((year(l_shipdate) - {FIRST_SHIP_YEAR}) * 12 + month(l_shipdate) - 1) % {MONTHS}")
-    lines = (
-        spark.read.parquet(f"{root}/lineitem.parquet")
-        .groupBy("l_orderkey", month.alias("idx"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    lines = spark.read.parquet(f"{root}/lineitem.parquet").selectExpr(
+        "l_orderkey",
+        f"((year(l_shipdate) - {FIRST_SHIP_YEAR}) * 12 + month(l_shipdate) - 1) % {MONTHS} AS idx",
+        "CAST(floor(l_extendedprice) AS BIGINT) AS price",
+        "l_returnflag = 'R' AS returned",
+        "CAST(round(l_discount * 100) AS INT) AS discount",
+        "CAST(round(l_tax * 100) AS INT) AS tax",
     )
     orders = spark.read.parquet(f"{root}/orders.parquet").select("o_orderkey", "o_custkey")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").cast("bigint").alias("card_id"), "idx")
-        .agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+        .agg(
+            F.sum("price").alias("gross"),
+            F.sum(F.when(F.col("returned"), 0).otherwise(F.col("price"))).alias("net"),
+            F.max("discount").alias("discount"),
+            F.max("tax").alias("tax"),
+        )
     )
 
 
 def statements(people: DataFrame, act: DataFrame) -> DataFrame:
-    """Balances, payments and days past due from three hashes of the month's activity."""
-    dpd = _case("profile", {p: _ladder(steps) for p, steps in DPD_STEPS.items()})
+    """Balance from the price kept, payment from the discount, days past due from tax and account."""
     return (
-        act.join(people.select("card_id", "credit_limit", "profile"), "card_id")
+        act.join(people.select("card_id", "credit_limit", "punctual"), "card_id")
         .selectExpr(
             "*",
-            "(card_id * 31 + idx * 17 + n * 7 + q) % 100 AS h1",
-            "(card_id * 13 + idx * 29 + q * 3) % 100 AS h2",
-            "(card_id * 7 + idx * 11 + n * 5 + q * 13) % 100 AS h3",
-        )
-        .selectExpr(
-            "*",
-            "IF((card_id + idx) % 97 = 0, 0, CAST(credit_limit AS BIGINT) *"
-            f" ({_share(BALANCE_SHARE, 'h1')}) DIV 10000) AS balance",
-            f"{dpd} AS dpd",
+            f"coalesce(net, 0) DIV {BALANCE_DIVISOR} AS balance",
+            "5 * greatest(0, 4 * tax - 2 * discount - punctual) AS dpd",
+            "greatest(0, 12 * discount - 4 * tax - 10) AS paid_percent",
         )
         .select(
             "card_id",
             F.expr(f"add_months(make_date({FIRST_YEAR}, 1, 1), idx)").alias("period_month"),
             F.expr("CAST(balance AS INT)").alias("statement_balance"),
-            F.expr("CAST(balance * 3 DIV 100 AS INT)").alias("min_due"),
-            F.expr(f"CAST(balance * ({_share(PAYMENT_SHARE, 'h2')}) DIV 10000 AS INT)").alias("paid_amount"),
-            F.col("dpd").alias("days_past_due"),
+            F.expr(f"CAST(balance DIV {MIN_DUE_DIVISOR} AS INT)").alias("min_due"),
+            F.expr("CAST(balance * paid_percent DIV 100 AS INT)").alias("paid_amount"),
+            F.expr("CAST(dpd AS INT)").alias("days_past_due"),
             bucket_of("dpd").alias("dpd_bucket"),
             "credit_limit",
-            F.expr("CAST(balance * (5 + h1 % 20) DIV 100 AS INT)").alias("transaction_amount"),
+            F.expr("CAST(gross DIV 10 AS INT)").alias("transaction_amount"),
         )
     )
 
 
 def writeoffs(stmts: DataFrame) -> DataFrame:
-    """Two thirds of the cards that ever defaulted, written off at their largest balance."""
+    """Cards well beyond default, half a year after it, at their largest balance.
+
+    Half of the share that it has paid of all its balances is recovered.
+    """
     return (
-        stmts.where("card_id % 3 <> 0")
-        .groupBy("card_id")
-        .agg(F.max("days_past_due").alias("worst"), F.max("statement_balance").alias("amount"))
-        .where(f"worst >= {DEFAULT_DPD} AND amount > 0")
+        stmts.groupBy("card_id")
+        .agg(
+            F.max("days_past_due").alias("worst"),
+            F.max("statement_balance").alias("amount"),
+            F.sum(F.col("paid_amount").cast("bigint")).alias("paid"),
+            F.sum(F.col("statement_balance").cast("bigint")).alias("owed"),
+            F.min(F.when(F.col("days_past_due") >= DEFAULT_DPD, F.col("period_month"))).alias("defaulted"),
+        )
+        .where(f"worst >= {WRITEOFF_DPD} AND amount > 0")
         .selectExpr(
             "card_id",
             "amount AS writeoff_amount",
-            "CAST(CAST(amount AS BIGINT) * ((card_id * 37) % 41) DIV 100 AS INT) AS recovery_amount",
-            "date_add(DATE '2023-01-01', CAST((card_id * 53) % 731 AS INT)) AS writeoff_date",
+            "CAST(least(amount, amount * paid DIV (2 * owed)) AS INT) AS recovery_amount",
+            "add_months(defaulted, 6) AS writeoff_date",
         )
     )

@@ -23,7 +23,6 @@ from revolva.sources.dirty import with_faults
 from revolva.sources.schemas import CLUSTER_KEY
 
 LINES_PER_BUCKET = 20_000_000
-MAX_BUCKETS = 20_000
 
 _stored: dict[tuple[str, str], Portfolio] = {}
 _lock = threading.Lock()
@@ -45,8 +44,7 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 def bucket_count(spark: SparkSession, lines: int) -> int:
     """At least one bucket per core, more as the data grows."""
-    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_BUCKET))
-    return min(wanted, MAX_BUCKETS)
+    return max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_BUCKET))
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Portfolio:
