@@ -37,6 +37,13 @@ def sample(labels: DataFrame, column: str, learnable: Column, per_class: int) ->
     return each.where(few).withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
 
 
+def some(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the distinct doc_id, those with the smallest hash; the ranking does not grow."""
+    each = ids.where("doc_id is not null").withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(_LOTS)))
+    enough = min(_LOTS, _LOTS * (2 * most + 100) // max(1, each.count()))
+    return each.where(F.col("lot") < enough).distinct().orderBy("lot", "doc_id").limit(most).select("doc_id")
+
+
 def texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """(doc_id, label, text) of a bounded sample; ``chosen`` is broadcast, as its size has a fixed bound."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revolva.llm import labelled
 from revolva.llm.secrets import Span, joined, ordered
 from revolva.llm.session import prepare
 
@@ -260,9 +261,9 @@ def trained(documents: DataFrame, sample: int = SAMPLE) -> Weights:
     """Weights from at most ``sample`` documents, those with the smallest hash of their id."""
     prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` ids.
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text").mapInArrow(_train, "row array<double>")
+    ids = labelled.some(docs.select("doc_id"), sample)
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(_train, "row array<double>")
     # A token of a sampled document each; their order does not matter to the fit but for rounding.
     every = np.array(sorted(r.row for r in rows.limit(100 * sample).collect()), float).reshape(-1, FEATURES + 2 * len(LABELS) + 1)
     return fit(every[:, :FEATURES], every[:, FEATURES:-1], every[:, -1].astype(int))
