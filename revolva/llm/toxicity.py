@@ -6,7 +6,7 @@ not hide them, and once more with digits and signs read as the letters they stan
 Features of a document are the densities and weights of lexicon words, how near one stands
 to a second-person word, the rates of capitals, of punctuation and of obfuscated words.
 
-The bounded sample of labelled documents is dealt into ``PARTS`` parts by hash. The features
+The bounded sample of labelled documents is dealt into ``PARTS`` parts, near copies together. The features
 that trees and calibration learn from are measured on each part with a lexicon of the other
 parts, and the calibration is fitted on parts that the trees have not seen. Scores use the
 lexicon of all parts.
@@ -176,45 +176,66 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+def _grouped(batches):
+    """The sample with a key that near copies of a text share: the least hash of three words."""
+    for batch in batches:
+        keys: list[int] = []
+        for row, end, raw, bounds in text.pieces(batch.column(2)):
+            w = Words(raw, bounds)
+            for i in range(end - row):
+                runs = text.shingles(w.plain[w.first[i] : w.first[i + 1]], 3)
+                keys.append(int(runs.min() >> _U(1)) if len(runs) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "label", "text", "copies"])
+
+
 def _entries(batches):
-    """Each document's words and beginnings; near copies share a group."""
+    """Each document's words and beginnings, once."""
     for batch in batches:
-        labels, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        hashes, owner, dealt, groups = [np.zeros(0, _U)], [], [], []
+        labels, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        hashes, owner = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
         for row, end, raw, bounds in text.pieces(batch.column(2)):
             w = Words(raw, bounds)
             for i in range(end - row):
                 own = slice(w.first[i], w.first[i + 1])
-                runs = text.shingles(w.plain[own], 3)
                 every = np.unique(np.concatenate([w.plain[own], *(b[own] for b in w.beginnings)]))
-                every = every[every != 0]
-                hashes.append(every)
-                owner += [labels[row + i]] * len(every)
-                dealt += [parts[row + i]] * len(every)
-                groups += [int(runs.min() >> _U(1)) if len(runs) else 0] * len(every)
+                hashes.append(every[every != 0])
+                owner.append(np.full(len(hashes[-1]), row + i))
+        rows = np.concatenate(owner)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(hashes).astype(np.int64)), pa.array(owner, pa.int32()), pa.array(dealt, pa.int32()), pa.array(groups, pa.int64())],
-            ["entry", "label", "part", "copies"],
+            [pa.array(np.concatenate(hashes).astype(np.int64)), pa.array(labels[rows], pa.int32()), pa.array(copies[rows], pa.int64())],
+            ["entry", "label", "copies"],
         )
 
 
-def _labelled_entries(sample: DataFrame, part: Column) -> DataFrame:
-    """(part, entry, label, copies) of (doc_id, label, text) rows; near copies of a text count once."""
-    each = sample.select("label", part.cast("int").alias("part"), "text").mapInArrow(_entries, "entry long, label int, part int, copies long")
-    return each.distinct()
+class Counts:
+    """How many texts of each label and part hold each entry; near copies of a text count once."""
+
+    def __init__(self, hashes: np.ndarray, bad: np.ndarray, good: np.ndarray, toxic: np.ndarray, clean: np.ndarray):
+        self.hashes, self.bad, self.good, self.toxic, self.clean = hashes, bad, good, toxic, clean
+
+    def lexicon(self, without: int | None = None) -> Lexicon:
+        """Entries that are frequent enough among the toxic texts of all parts but one."""
+        parts = np.arange(PARTS) != (-1 if without is None else without)
+        bad, good = self.bad[:, parts].sum(1), self.good[:, parts].sum(1)
+        toxic, clean = self.toxic[parts].sum(), self.clean[parts].sum()
+        weight = np.log((bad + 0.5) / (toxic + 1) / ((good + 0.5) / (clean + 1)))
+        chosen = (bad >= max(SUPPORT, round(SUPPORT_SHARE * int(toxic)))) & (weight >= np.log(RATIO))
+        return Lexicon(self.hashes[chosen], weight[chosen])
 
 
-def learn_lexicon(entries: DataFrame, sizes, most: int = LEXICON) -> Lexicon:
-    """Entries of a bounded sample; ``sizes`` are rows with the number of documents of a label."""
-    toxic, clean = (sum(r["count"] for r in sizes if r.label == label) for label in (1, 0))
-    counts = (
-        entries.select("entry", "label", "copies").distinct().groupBy("entry").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    )
-    ratio = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1))
-    least = max(SUPPORT, round(SUPPORT_SHARE * toxic))
-    best = counts.where(F.col("bad") >= least).select("entry", F.log(ratio).alias("weight")).where(F.col("weight") >= float(np.log(RATIO)))
-    rows = best.orderBy(F.desc("weight"), "entry").limit(most).collect()
-    return Lexicon(np.array([r.entry for r in rows], np.int64).astype(_U), np.array([r.weight for r in rows], float))
+def count_entries(sample: DataFrame, most: int = LEXICON) -> Counts:
+    """Counts of the ``most`` entries that are most toxic in a bounded sample (label, text, copies)."""
+    each = sample.select("label", "copies", "text").mapInArrow(_entries, "entry long, label int, copies long")
+    part = F.pmod("copies", F.lit(PARTS))
+    here = [F.count_if((F.col("label") == label) & (part == k)).alias(f"n{label}_{k}") for label in (1, 0) for k in range(PARTS)]
+    # One shuffle: texts are told apart and counted where their entry is.
+    counts = each.repartition("entry").distinct().groupBy("entry").agg(*here)
+    bad, good = (reduce(Column.__add__, [F.col(f"n{label}_{k}") for k in range(PARTS)]) for label in (1, 0))
+    rows = counts.where(bad >= SUPPORT).orderBy(F.desc((bad + 0.5) / (good + 0.5)), "entry").limit(most).collect()
+    sizes = {(r.label, r.part): r["count"] for r in sample.groupBy("label", part.alias("part")).count().collect()}
+    table = np.array([r[1:] for r in rows], np.int64).reshape(len(rows), 2 * PARTS)
+    held = lambda label: np.array([sizes.get((label, k), 0) for k in range(PARTS)])
+    return Counts(np.array([r.entry for r in rows], np.int64).astype(_U), table[:, :PARTS], table[:, PARTS:], held(1), held(0))
 
 
 def _measured(batches, lexicon, place: int):
@@ -242,14 +263,12 @@ def _vectors(rows: DataFrame, lexicon: Lexicon, *columns: str) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` documents of each label."""
     prepare(documents.sparkSession)
-    rows = stored(labelled.texts(documents, labelled.sample(labels, "toxic", learnable, per_class)), "sample")
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))
-    entries = stored(_labelled_entries(rows, part), "entries")
-    lexicon = learn_lexicon(entries, sizes := rows.groupBy(part.alias("part"), "label").count().collect())
-    parts = []
-    for k in range(PARTS):
-        others = learn_lexicon(entries.where(F.col("part") != k), [r for r in sizes if r.part != k])
-        parts.append(_vectors(rows.where(part == k), others, "doc_id", "label"))
+    chosen = labelled.texts(documents, labelled.sample(labels, "toxic", learnable, per_class))
+    rows = stored(chosen.mapInArrow(_grouped, "doc_id long, label int, text string, copies long"), "sample")
+    part = F.pmod("copies", F.lit(PARTS))
+    counts = count_entries(rows)
+    lexicon = counts.lexicon()
+    parts = [_vectors(rows.where(part == k), counts.lexicon(k), "doc_id", "label", "copies") for k in range(PARTS)]
     measured = stored(reduce(DataFrame.unionByName, parts).coalesce(2), "measured").withColumn("label", F.col("label").cast("double"))
     late = PARTS * 3 // 4
     fitted, rest = measured.where(part < late), measured.where(part >= late)
