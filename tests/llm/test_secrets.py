@@ -110,3 +110,62 @@ def test_odd_rows_and_masking(spark):
     assert clean[50].text == "a [SECRET] b [SECRET] c" and clean[50].n_chars == len(clean[50].text)
     assert clean[1].text is None and clean[2].text == "" and clean[6].text == "é"
     assert "hunter22" not in clean[51].text
+
+
+ENCRYPTED = der(
+    0x30,
+    der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30, der(0x30, der(6, b"\x2a\x03"), der(4, b"saltsalt")))),
+    der(4, bytes(range(160))),
+)
+
+
+def lines(data, end="\n", width=64):
+    one = base64.b64encode(data).decode()
+    return end.join(one[i : i + width] for i in range(0, len(one), width))
+
+
+def whole(kind, text, before="é: ", after=" ."):
+    assert secrets.confirmed_spans(before + text + after) == [(kind, len(before), len(before) + len(text))], text
+    assert secrets.masked(text) == "[SECRET]"
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, EC, SSH, ENCRYPTED])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n", '\\n" +\n  "', '",\n "', "\n# "])
+def test_keys_over_lines_and_escaped(data, end):
+    mark = "-----{} PRIVATE KEY-----"
+    whole("key", mark.format("BEGIN") + end + lines(data, end) + end + mark.format("END"))
+    whole("key", lines(data, end), after=end + "-----")
+    whole("key", lines(data, end, 76), before='{"k": "\\n', after='"}')
+    whole("key", lines(data, end, 20), before="key_", after=end + "and a word")
+
+
+def test_keys_with_headers():
+    mark = "-----{} RSA PRIVATE KEY-----"
+    for end in ("\n", "\\n"):
+        block = lambda head, data: end.join([mark.format("BEGIN"), *head, "", lines(data, end), mark.format("END")])
+        whole("key", block(["Comment: mine"], RSA))
+        sealed = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0F" * 16]
+        random.seed(4)
+        whole("key", block(sealed, random.randbytes(320)))
+        assert secrets.confirmed_spans(block(sealed, random.randbytes(321))) == []
+        assert secrets.confirmed_spans(block(["Comment: mine"], random.randbytes(320))) == []
+
+
+def test_encrypted_keys_but_no_digests():
+    assert secrets.is_key(ENCRYPTED) and not secrets.is_key(ENCRYPTED[:-1])
+    assert not secrets.is_key(der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"), der(5)), der(4, bytes(32))))
+
+
+def test_tokens_of_any_header_after_any_sign():
+    _, body, tail = JWT.split(".")
+    for header in (b'{"alg":"HS256"}', b' {"alg":"HS256"}', b'{ "alg":"HS256"}', b'{\n"alg":"HS256"}', b'\r\n{"alg":"HS256"}', b'\t{"alg":"HS256"}'):
+        for before in ("", "a.", "..", "-", "_", "v1.x.", "key-", "a_b-", "\\n", "\\u0022", "%20", "é "):
+            whole("jwt", f"{url(header)}.{body}.{tail}", before)
+
+
+def test_wide_candidates_take_linear_time():
+    random.seed(5)
+    head = "MIL/" + url(random.randbytes(30))
+    good = JWT.split(".")
+    for text in ("MIL/\n" * 40_000, (head + "\n") * 5_000, "-eyJ" * 50_000 + "." + ".".join(good[1:]), (good[0] + ".") * 4_000, "b3BlbnNzaC1rZXktdjEA\\n" * 8_000, "\\" * 200_000, "a\n" * 100_000, '"' * 200_000, "+ " * 100_000):
+        secrets.masked(text)
