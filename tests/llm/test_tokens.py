@@ -177,3 +177,22 @@ def test_local_search_empties_bins():
         assert fills.max() <= 100
         assert (fills**2).sum() >= (np.bincount(before, weights=lengths) ** 2).sum()
         assert len(set(after.tolist())) <= len(set(before.tolist()))
+
+
+def test_strings_of_special_tokens_are_as_in_the_library(spark, tmp_path):
+    contract = lambda text: Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    encode, random_ = tokens.encoder(PATH), random.Random(7)
+    assert np.frombuffer(encode.batch(["a <|endoftext|> b"])[0], encode.dtype).tolist() == [64, 220, 50256, 275]
+    signs = ["a", "é", "'s", ".", " ", "  ", "\n", "\t", "\xa0", "<|endoftext|>", "<|endof", "text|>", "<|end oftext|>"]
+    texts = ["".join(random_.choices(signs, k=random_.randint(0, 20))) for _ in range(300)]
+    library = Tokenizer.from_file(PATH)
+    for text, got in zip(texts, encode.batch(texts)):
+        assert np.frombuffer(got, encode.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = [(1, "a <|endoftext|> b"), (2, "c<|endoftext|>")]
+    df, wanted = documents(spark, rows), {i: contract(t) for i, t in rows}
+    assert token_counts.counted(df, PATH, "v").agg(F.sum("tokens")).first()[0] == sum(map(len, wanted.values()))
+    records.write_records(df, folder := f"file://{tmp_path}/special", PATH)
+    got = records.read_records(records.read_index(spark, folder), folder, PATH).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: ids + [tokens.END_ID] for i, ids in wanted.items()}
+    pieces = packing.packed(df, PATH).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in pieces} == {i: (len(ids) + 1, crc(ids + [tokens.END_ID])) for i, ids in wanted.items()}
