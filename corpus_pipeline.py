@@ -23,8 +23,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words to a shingle, a similarity of 0.8."""
-    return neardup.stage(docs)
+    """One document of each group of near copies: five words to a shingle, a similarity of 0.8.
+
+    Rows without doc_id and rows that repeat one are compared like any others.
+    """
+    return neardup.stage(docs, unnamed=True)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

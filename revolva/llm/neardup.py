@@ -252,7 +252,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def stage(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without the rows whose text is a near copy of one with a smaller id."""
-    copies = near_duplicates(documents, shingle, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(copies, documents["doc_id"] == copies["_copy"], "left_anti")
+def stage(documents: DataFrame, shingle: int = 5, percent: int = 80, unnamed: bool = False) -> DataFrame:
+    """``documents`` with the first row of each group of near copies: the one with the smallest id.
+
+    Rows are told apart by a number of their own, so of rows that repeat id and text one
+    stays, and texts that share an id are judged each. Rows without doc_id come last in
+    their group if ``unnamed``; else they take no part and stay. So do texts without words.
+    """
+    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    part = rows if unnamed else rows.where("doc_id is not null")
+    found = near_duplicates(part.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+    grouped = found.select(F.col("doc_id").alias("_row"), "component_id").join(part.select("_row", F.col("doc_id").alias("_id")), "_row")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first"))
+    copies = part.select("_row").join(first.select("first._row"), "_row", "left_anti")
+    return rows.join(copies, "_row", "left_anti").select(*documents.columns)

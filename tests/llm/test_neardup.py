@@ -53,6 +53,21 @@ def test_stage_keeps_columns_and_one_of_each_group(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
 
 
+def test_stage_decides_by_row(spark, small_dir):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{k}w{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (3, three + " x"), (None, one), (None, four), (None, four), (None, None), (4, "")]
+    df = clashing(documents(spark, rows))
+    kept = corpus_pipeline.drop_near_copies(spark, df.repartition(5), small_dir)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    got = [(i, three if t == three + " x" else t) for i, t in got]  # either row of id 3 may stay
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (3, three), (None, four), (None, None), (4, "")], key=str)
+    alone = sorted(((r.doc_id, r.text) for r in neardup.stage(df).collect()), key=str)
+    assert len(alone) == 8 and alone.count((None, four)) == 2 and (None, one) in alone
+
+
 def test_signatures_within_the_distance_share_a_key():
     rng = np.random.default_rng(2)
     import pyarrow as pa
