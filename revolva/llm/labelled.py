@@ -45,6 +45,10 @@ def some(ids: DataFrame, most: int) -> DataFrame:
 
 
 def texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, label, text) of a bounded sample; ``chosen`` is broadcast, as its size has a fixed bound."""
+    """(doc_id, label, text) of a bounded sample, one row a doc_id; ``chosen`` is broadcast, as its size has a fixed bound.
+
+    An id that several rows carry counts with its smallest text.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))

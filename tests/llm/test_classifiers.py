@@ -98,3 +98,10 @@ def test_odd_rows_and_no_labels(spark):
         trees = toxicity.train(df, labels, F.lit(True))
         assert toxicity.scored(df, trees).count() == df.count()
         assert toxicity.scored(df.where("false"), trees).count() == 0
+
+
+def test_samples_hold_one_row_of_an_id(spark):
+    rows = [(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")] + [(4, f"text {i}") for i in range(500)]
+    chosen = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, label int")
+    got = sorted(map(tuple, labelled.texts(documents(spark, rows), chosen).collect()))
+    assert got == [(1, 0, "a"), (2, 1, None), (4, 1, "text 0")]
