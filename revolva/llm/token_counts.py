@@ -43,7 +43,7 @@ class Ledger:
         sums = changes.groupBy(*KEYS).agg(
             F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")
         )
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:

@@ -196,3 +196,18 @@ def test_strings_of_special_tokens_are_as_in_the_library(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in got} == {i: ids + [tokens.END_ID] for i, ids in wanted.items()}
     pieces = packing.packed(df, PATH).collect()
     assert {r.doc_id: (r.length, r.ids_crc32) for r in pieces} == {i: (len(ids) + 1, crc(ids + [tokens.END_ID])) for i, ids in wanted.items()}
+
+
+def test_sums_of_a_batch_are_written_by_many_tasks(spark, tmp_path):
+    changes = spark.range(4000).selectExpr("cast(id as string) source", "'en' lang", "'v' tokenizer", "1L documents", "id tokens")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+        ledger.commit("a", changes)
+        assert len(list((tmp_path / "ledger" / "batch=a").glob("part-*.parquet"))) > 1
+        assert ledger.totals().count() == 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
