@@ -1,5 +1,5 @@
 import pytest
-from conftest import statement
+from panels import statement
 
 from revolva.operators import exports, features
 from revolva.sources import readers, schemas, store

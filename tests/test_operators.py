@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from conftest import rows, statement
+from panels import rows, statement
 
 from revolva.config import RiskConfig
 from revolva.operators import (

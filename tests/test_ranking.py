@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import statement
+from panels import statement
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
