@@ -44,8 +44,8 @@ def _canon(columns, rows):
     return [columns[i] for i in order], body
 
 
-_SPARK = {"bigint": "int64", "int": "int32", "double": "double", "string": "text", "date": "date"}
-_DUCK = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "VARCHAR": "text", "DATE": "date"}
+_SPARK = {"bigint": "int64", "int": "int32", "double": "double", "string": "text", "date": "date", "boolean": "bool"}
+_DUCK = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "VARCHAR": "text", "DATE": "date", "BOOLEAN": "bool"}
 
 
 def difference(df, con, sql: str) -> str | None:
