@@ -6,7 +6,7 @@ scenarios by unions, where the operators use windows and single scans.
 
 from __future__ import annotations
 
-from oracle import extracts, reports
+from oracle import extracts, model, reports
 
 
 def build() -> dict[str, str]:
@@ -28,6 +28,7 @@ def build() -> dict[str, str]:
         extracts.exports,
         extracts.dashboards,
         extracts.default_model,
+        model.default_model,
     )
     out: dict[str, str] = {}
     for part in parts:

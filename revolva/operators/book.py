@@ -18,7 +18,7 @@ from revolva.functions.bands import (
 )
 from revolva.functions.numeric import canonical, fixed, percent, ratio, rows, total
 from revolva.operators.delinquency import total_exposure_by_month
-from revolva.plans import panel, ranking, rollup
+from revolva.plans import panel, rollup, selection
 from revolva.plans.portfolio import Portfolio
 
 
@@ -52,7 +52,7 @@ def rolling_utilization(p: Portfolio) -> DataFrame:
 
 
 def rfm_scoring(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    """Recency, frequency and revolving amount per card, with exact quintiles."""
+    """Recency, frequency and revolving amount per card, with exact quintiles; rows in no order."""
     late = dpd_at_least(cfg.delinquent_dpd)
     per_card = p.statements.groupBy("card_id").agg(
         F.max(F.when(late, F.col("period_month"))).alias("last_delinquent_month"),
@@ -62,11 +62,14 @@ def rfm_scoring(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             F.count(F.col("statement_balance") - F.col("paid_amount")),
         ).alias("revolving"),
     )
-    by_frequency = [F.desc("frequency"), F.col("card_id")]
-    by_amount = [F.desc_nulls_last("revolving"), F.col("card_id")]
-    tiled = ranking.with_ntile(per_card, by_frequency, 5, "freq_quintile")
-    tiled = ranking.with_ntile(tiled, by_amount, 5, "monetary_quintile")
-    return tiled.orderBy(F.desc("frequency"), F.desc_nulls_last("revolving"), "card_id").select(
+    card = selection.whole("card_id")
+    tiled = selection.with_ntiles(
+        per_card,
+        5,
+        freq_quintile=[selection.whole("frequency", descending=True), card],
+        monetary_quintile=[selection.amount("revolving", descending=True), card],
+    )
+    return tiled.select(
         "card_id",
         "last_delinquent_month",
         "frequency",
@@ -175,7 +178,7 @@ def risk_decile(p: Portfolio) -> DataFrame:
 
     Only the payment ratio is capped, statement by statement; a statement
     without a balance counts as fully paid. Deciles order by the score at ten
-    decimals, so summation order cannot move a card.
+    decimals, so summation order cannot move a card. Rows come in no order.
     """
     paid = F.least(payment_ratio(), F.lit(1.0))
     score = F.col("util") * 40 + (F.col("dpd") / 90.0) * 40 + (1 - F.col("paid")) * 20
@@ -189,19 +192,15 @@ def risk_decile(p: Portfolio) -> DataFrame:
         )
         .withColumn("score", canonical(score))
     )
-    order = [F.desc_nulls_last("score"), F.col("card_id"), F.col("credit_limit")]
-    return (
-        ranking.with_ntile(scored, order, 10, "risk_decile")
-        .orderBy(*order)
-        .select(
-            "card_id",
-            "credit_limit",
-            fixed("util", 4).alias("avg_util"),
-            fixed("dpd", 2).alias("avg_dpd"),
-            fixed("payr", 4).alias("avg_pay_ratio"),
-            fixed("score", 2).alias("risk_score"),
-            "risk_decile",
-        )
+    order = [selection.amount("score", descending=True), selection.whole("card_id"), selection.whole("credit_limit")]
+    return selection.with_ntiles(scored, 10, risk_decile=order).select(
+        "card_id",
+        "credit_limit",
+        fixed("util", 4).alias("avg_util"),
+        fixed("dpd", 2).alias("avg_dpd"),
+        fixed("payr", 4).alias("avg_pay_ratio"),
+        fixed("score", 2).alias("risk_score"),
+        "risk_decile",
     )
 
 

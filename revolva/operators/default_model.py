@@ -8,24 +8,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions import windows
 from revolva.functions.numeric import fixed, ratio, rows
 from revolva.operators import frames
-from revolva.plans import ranking, sampling
+from revolva.plans import regression, sampling, selection
 from revolva.plans.portfolio import Portfolio
+from revolva.sources import store
 
 FEATURES = ["avg_util", "max_util", "avg_pay_ratio", "avg_dpd", "del_months", "avg_rev_bal"]
 LABEL = "default_flag"
-MAX_ITERATIONS = 1000
+SCALED = [f"z_{name}" for name in FEATURES]
+#: Scores of six decimals that are ordered at once.
+SLICE = 1 << 16
 
 
 def class_balance(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
@@ -35,91 +33,120 @@ def class_balance(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
 def split(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """Card features with a stratified train/test label.
 
-    Cards of each class are ranked by a seeded hash of their key, and the first
-    share of each class is held out. The ranks come from a range partitioning,
-    so a class may be of any size.
+    The first share of each class is held out, by a seeded hash of the card's key. The
+    cut is found by counting hashes, so a class may be of any size.
     """
-    drawn = (
-        frames.card_features(p, cfg)
-        .select("card_id", LABEL, *FEATURES)
-        .withColumn("_draw", sampling.draw(cfg.seed, "card_id"))
-    )
-    ranked = ranking.with_rank(drawn, [F.col("_draw"), F.col("card_id")], "_rank", group=LABEL)
-    held_out = F.col("_rank") < F.ceil(F.col("_rank_of") * cfg.test_share)
-    return ranked.withColumn("split", F.when(held_out, "test").otherwise("train")).select(
-        "card_id", LABEL, *FEATURES, "split"
-    )
+    cards = frames.card_features(p, cfg).select("card_id", LABEL, *FEATURES)
+    order = [F.upper(sampling.draw(cfg.seed, "card_id")), selection.whole("card_id")]
+    drawn = selection.with_first_share(cards, order, cfg.test_share, "_held_out", F.col(LABEL))
+    return drawn.withColumn("split", F.when(F.col("_held_out"), "test").otherwise("train")).drop("_held_out")
 
 
 @dataclass(frozen=True)
 class FittedModel:
-    stages: PipelineModel
-    train: DataFrame
-    test: DataFrame
+    """Weights and scaling, and the stored cards of both splits."""
+
+    cards: DataFrame
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+    fitted: regression.LogisticFit
+
+    @property
+    def train(self) -> DataFrame:
+        return self.cards.where(F.col("split") == "train")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.cards.where(F.col("split") == "test")
+
+    def standardised(self, cards: DataFrame) -> DataFrame:
+        """``cards`` with the scaled features; a feature without spread is zero."""
+        z = {
+            name: F.coalesce((F.col(c) - F.lit(m)) / F.nullif(F.lit(s), F.lit(0.0)), F.lit(0.0))
+            for name, c, m, s in zip(SCALED, FEATURES, self.means, self.deviations)
+        }
+        return cards.withColumns(z)
 
     @property
     def scored(self) -> DataFrame:
-        return self.stages.transform(self.test)
+        """The held-out cards with ``margin``, the linear predictor, and ``probability``."""
+        return self.standardised(self.test).withColumns(
+            {
+                "margin": F.expr(regression.margin(self.fitted.weights, SCALED)),
+                "probability": regression.probability(self.fitted.weights, SCALED),
+            }
+        )
 
 
 def fit(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> FittedModel:
     """Scale the features on the training cards and fit the regression on them.
 
-    The penalty equals one half of the squared weights against the summed loss,
-    which is ``1 / n`` against the mean loss that Spark minimises.
+    The loss is summed over cards, and the penalty is one half of the squared weights. The
+    cards are stored first, as every step of the fit reads them.
     """
-    cards = split(p, cfg)
+    cards = store.kept(split(p, cfg), "default-model")
     train = cards.where(F.col("split") == "train")
-    test = cards.where(F.col("split") == "test")
-    steps = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=FEATURES, outputCol="raw_features", handleInvalid="error"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(
-                featuresCol="features",
-                labelCol=LABEL,
-                regParam=1.0 / train.count(),
-                elasticNetParam=0.0,
-                standardization=False,
-                maxIter=MAX_ITERATIONS,
-            ),
-        ]
-    )
-    return FittedModel(steps.fit(train), train, test)
+    moments = train.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_samp(c).alias(f"s_{c}") for c in FEATURES]
+    ).first()
+    means = tuple(float(moments[f"m_{c}"] or 0) for c in FEATURES)
+    deviations = tuple(float(moments[f"s_{c}"] or 0) for c in FEATURES)
+    unfitted = FittedModel(cards, means, deviations, regression.LogisticFit((), (), 0.0, 0))
+    if train.where(" OR ".join(f"{c} IS NULL" for c in FEATURES)).limit(1).count():
+        raise ValueError("a card without balance or limit has no features")
+    fitted = regression.newton(unfitted.standardised(train), SCALED, LABEL)
+    return FittedModel(cards, means, deviations, fitted)
 
 
 def scaled(m: FittedModel) -> DataFrame:
     """Standardised features of all cards, scaled by the training cards."""
-    both = m.stages.transform(m.train.unionByName(m.test))
-    values = vector_to_array("features")
-    return both.select(
-        "card_id", "split", *[fixed(values[i], 6).alias(f"z_{name}") for i, name in enumerate(FEATURES)]
-    )
+    return m.standardised(m.cards).select("card_id", "split", *[fixed(c, 6).alias(c) for c in SCALED])
 
 
 def coefficients(m: FittedModel) -> DataFrame:
     """Fitted weights, on the standardised features, and the intercept."""
-    fitted = m.stages.stages[-1]
-    weights = [("intercept", float(fitted.intercept))]
-    weights += list(zip(FEATURES, (float(w) for w in fitted.coefficients)))
-    lines = [F.struct(F.lit(name).alias("feature"), F.lit(w).alias("weight")) for name, w in weights]
-    return m.test.sparkSession.range(1).select(F.inline(F.array(*lines)))
+    names = ["intercept", *FEATURES]
+    return m.cards.sparkSession.createDataFrame(list(zip(names, m.fitted.weights)), "feature string, weight double")
 
 
 def predictions(m: FittedModel) -> DataFrame:
     return m.scored.select(
         "card_id",
         F.col(LABEL).alias("label"),
-        F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("probability"),
+        (F.col("probability") > 0.5).cast("int").alias("prediction"),
+        "probability",
     )
 
 
-def auc(m: FittedModel) -> DataFrame:
-    evaluator = BinaryClassificationEvaluator(
-        labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
+def _steps(scores: DataFrame, score: Column) -> DataFrame:
+    return scores.groupBy(score.alias("step")).agg(
+        F.count_if(F.col("label") == 1).alias("hits"), F.count_if(F.col("label") == 0).alias("others")
     )
-    return m.test.sparkSession.range(1).select(F.lit(float(evaluator.evaluate(m.scored))).alias("roc_auc"))
+
+
+def area(scores: DataFrame) -> DataFrame:
+    """Area under the ROC curve of (label, score) at six decimals of the score, ties counting half.
+
+    It is the chance that a positive row scores above a negative one. Scores are counted,
+    then ordered within slices of ``SLICE`` values, so no task holds more than a slice.
+    """
+    steps = _steps(scores, F.rint(F.col("score") * 10**6).cast("bigint")).withColumn("slice", F.floor(F.col("step") / SLICE))
+    slices = steps.groupBy("slice").agg(F.sum("others").alias("_n"))
+    earlier = windows.before_now(windows.all_groups().orderBy("slice"))
+    bases = slices.select("slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("base"))
+    inside = windows.before_now(Window.partitionBy("slice").orderBy("step"))
+    below = F.col("base") + F.coalesce(F.sum("others").over(inside), F.lit(0))
+    return (
+        steps.join(bases, "slice")
+        .select("hits", "others", (F.col("hits").cast("decimal(38,0)") * (2 * below + F.col("others"))).alias("won"))
+        .agg(F.sum("won").alias("won"), F.sum("hits").alias("hits"), F.sum("others").alias("others"))
+        .select(fixed(ratio("won", 2.0 * F.col("hits").cast("double") * F.col("others")), 8).alias("roc_auc"))
+    )
+
+
+def auc(m: FittedModel) -> DataFrame:
+    """Area under the ROC curve on the held-out cards, by the linear predictor."""
+    return area(m.scored.select(F.col(LABEL).alias("label"), F.col("margin").alias("score")))
 
 
 def confusion(m: FittedModel) -> DataFrame:

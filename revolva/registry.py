@@ -228,10 +228,10 @@ ON_CLEAN = {
 # Run on the model fitted to the clean portfolio.
 ON_MODEL = {
     "default_model_scale": default_model.scaled,
-    "default_model_fit": default_model.coefficients,
-    "default_model_predict": default_model.predictions,
+    "default_model_fit": lambda m: displayed(default_model.coefficients(m), 6, "weight"),
+    "default_model_predict": lambda m: displayed(default_model.predictions(m), 6, "probability"),
     "default_model_auc": default_model.auc,
-    "default_model_report": default_model.report,
+    "default_model_report": lambda m: displayed(default_model.report(m), 8, "precision", "recall", "f1_score"),
     "default_model_confusion": default_model.confusion,
     "default_model_roc": default_model.roc,
 }

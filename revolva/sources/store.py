@@ -14,6 +14,7 @@ import hashlib
 import math
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back: a cut of lineage that survives lost executors."""
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/revolva-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(spark: SparkSession, lines: int) -> int:
     """At least one bucket per core, more as the data grows."""
     return max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_BUCKET))

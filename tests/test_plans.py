@@ -64,7 +64,20 @@ def test_columns_are_pruned(plan):
 
 def test_no_python_in_any_plan(plan):
     for name in sorted(set(registry.ON_CLEAN) | set(registry.ON_DIRTY)):
-        if name in ("rfm_scoring", "risk_decile", "default_model_split"):
-            continue  # these checkpoint while the plan is built; covered by test_ranking
         text = plan(name)
         assert not re.search(r"ArrowEval|BatchEvalPython|InPandas|InArrow|CartesianProduct", text), name
+
+
+@pytest.mark.parametrize("name", ["rfm_scoring", "risk_decile", "default_model_split"])
+def test_cuts_move_keys_only(plan, name):
+    """Cuts are found by counting: no order over all rows, and no job before the result is asked for."""
+    text = plan(name)
+    assert "rangepartitioning" not in text and "Scan ExistingRDD" not in text
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert moved and all(re.match(r"(key|grp|_w?grp)#", k) for k in moved)
+
+
+def test_cuts_are_found_when_the_result_is_asked_for(spark, small_dir):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    registry.build()["risk_decile"](spark, small_dir)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == len(before)
