@@ -82,6 +82,25 @@ def quality() -> dict[str, str]:
         for b, lo, hi in (("0", 0, 0), ("1-29", 1, 29), ("30-59", 30, 59), ("60-89", 60, 89))
     )
     mismatch += " OR (days_past_due >= 90 AND dpd_bucket <> '90+')"
+    cell_checks = {
+        "customers": ["customer_id", "region", "income_band"],
+        "cards": ["card_id", "customer_id", "credit_limit"],
+        "statements": ["statement_balance", "paid_amount", "days_past_due", "credit_limit"],
+    }
+    row_checks = [(t, f"null_{c}", f"{c} IS NULL") for t, columns in cell_checks.items() for c in columns]
+    row_checks += [
+        ("cards", "bad_credit_limit", "credit_limit <= 0"),
+        ("statements", "negative_balance", "statement_balance < 0"),
+        ("statements", "negative_dpd", "days_past_due < 0"),
+        ("statements", "overpayment", "paid_amount > statement_balance"),
+        ("statements", "over_limit", "statement_balance > credit_limit"),
+        ("statements", "dpd_bucket_mismatch", mismatch),
+        ("writeoffs", "negative_writeoff", "writeoff_amount <= 0"),
+        ("writeoffs", "recovery_exceeds_writeoff", "recovery_amount > writeoff_amount"),
+    ]
+    battery = " UNION ALL ".join(
+        f"SELECT '{t}' AS tbl, '{name}' AS issue, {n_if(condition)} AS count FROM {t}" for t, name, condition in row_checks
+    )
     bodies = {
         "dq_null_customers": nulls(
             "customers", {"customer_id": "customer_id", "region": "region", "income_band": "income_band"}
@@ -105,6 +124,7 @@ def quality() -> dict[str, str]:
         "dq_orphan_cards": orphans("orphan_cards", "cards", "customers", "customer_id"),
         "dq_orphan_statements": orphans("orphan_statements", "statements", "cards", "card_id"),
         "dq_orphan_writeoffs": orphans("orphan_writeoffs", "writeoffs", "cards", "card_id"),
+        "dq_battery": battery,
         "profile_customers": f"""
             SELECT region, income_band, count(*) AS customers,
                    {pct('count(*)', '(SELECT count(*) FROM customers)')} AS pct

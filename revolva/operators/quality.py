@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revolva.functions import windows
-from revolva.functions.bands import bucket_of, lgd, severity
+from revolva.functions.bands import lgd, severity
 from revolva.functions.numeric import fixed, percent, rows, total
+from revolva.operators.checks import CARD_ISSUES, ROW_CHECKS, STATEMENT_ISSUES, WRITEOFF_ISSUES
 from revolva.plans.portfolio import Portfolio
 
 
-
 def _null_counts(df: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
     counts = [F.count_if(F.col(c).isNull()).alias(f"null_{name}") for name, c in columns.items()]
     return df.agg(*counts).select(F.lit(f"{label} - null check").alias("check_name"), "*")
@@ -63,24 +65,6 @@ def duplicate_statements(p: Portfolio) -> DataFrame:
     return _duplicates(p.statements, "card_id", "period_month")
 
 
-def _bucket_mismatch() -> Column:
-    return bucket_of("days_past_due") != F.col("dpd_bucket")
-
-
-STATEMENT_ISSUES = {
-    "negative_balance": lambda: F.col("statement_balance") < 0,
-    "negative_dpd": lambda: F.col("days_past_due") < 0,
-    "overpayment": lambda: F.col("paid_amount") > F.col("statement_balance"),
-    "over_limit": lambda: F.col("statement_balance") > F.col("credit_limit"),
-    "dpd_bucket_mismatch": _bucket_mismatch,
-}
-CARD_ISSUES = {"bad_credit_limit": lambda: F.col("credit_limit") <= 0}
-WRITEOFF_ISSUES = {
-    "negative_writeoff": lambda: F.col("writeoff_amount") <= 0,
-    "recovery_exceeds_writeoff": lambda: F.col("recovery_amount") > F.col("writeoff_amount"),
-}
-
-
 def issue_counts(df: DataFrame, issues: dict) -> DataFrame:
     """(issue, count) for any number of row conditions, from a single scan."""
     counts = df.agg(*[F.count_if(test()).alias(name) for name, test in issues.items()])
@@ -88,6 +72,14 @@ def issue_counts(df: DataFrame, issues: dict) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
+def battery(p: Portfolio) -> DataFrame:
+    """(tbl, issue, count): all row checks of all tables, from a single scan of each."""
+    counted = [
+        issue_counts(getattr(p, table), tests).select(F.lit(table).alias("tbl"), "*") for table, tests in ROW_CHECKS.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def statement_issue(p: Portfolio, name: str) -> DataFrame:
     return issue_counts(p.statements, {name: STATEMENT_ISSUES[name]})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ class Portfolio:
     statements: DataFrame
     writeoffs: DataFrame
     stored_holders: DataFrame | None = None
+    # Known for a stored portfolio, whose statements are partitioned by month.
+    last_month: date | None = None
 
     @property
     def holders(self) -> DataFrame:
@@ -38,7 +41,9 @@ class Portfolio:
         return self.holders.where("has_customer").drop("has_customer")
 
     def latest_month(self) -> Column:
-        """The last month with a statement, as an uncorrelated scalar subquery."""
+        """The last month with a statement: known, or an uncorrelated scalar subquery."""
+        if self.last_month is not None:
+            return F.lit(self.last_month)
         return self.statements.select(F.max("period_month").alias("latest")).scalar()
 
     def latest_statements(self) -> DataFrame:

@@ -69,6 +69,7 @@ ON_DIRTY = {
     "dq_negative_writeoff": partial(quality.writeoff_issue, name="negative_writeoff"),
     "dq_recovery_exceeds": partial(quality.writeoff_issue, name="recovery_exceeds_writeoff"),
     "dq_lgd_range": quality.lgd_range,
+    "dq_battery": quality.battery,
 }
 
 ON_CLEAN = {
@@ -236,11 +237,11 @@ ON_MODEL = {
     "default_model_roc": default_model.roc,
 }
 
-_fitted: dict[tuple[str, str], default_model.FittedModel] = {}
+_fitted: dict[tuple[str, str, str], default_model.FittedModel] = {}
 
 
 def fitted_model(spark: SparkSession, sf_dir: str) -> default_model.FittedModel:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), store.fingerprint(spark, sf_dir))
     if key not in _fitted:
         _fitted[key] = default_model.fit(store.load(spark, sf_dir))
     return _fitted[key]

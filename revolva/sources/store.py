@@ -1,61 +1,88 @@
-"""Mapped portfolios, written once per application and shared by all queries.
+"""Portfolios stored so that work on a card needs no shuffle and work on a month reads that month.
 
-The mapping aggregates the whole order book, so it is computed once and stored
-as tables bucketed by their key. Joins, aggregations and windows on
-``card_id`` then read co-located data and need no shuffle.
+``save`` writes the tables below a folder and ``open_store`` reads them in any later session. Tables
+of cards are bucketed by ``card_id``, so joins, aggregations and windows on the card read
+co-located data. Statements are also partitioned by month, or sorted by month within their
+buckets where the files of a month would be small. A card has at most one statement per
+month, so no bucket can be dominated by a single card.
 
-A card has at most one statement per folded month, because the mapping groups
-by (card, month); no bucket can therefore be dominated by a single card.
+A manifest, published last and whole, makes a stored version valid: schemas, buckets, the last month,
+the counts of the quality checks, which are taken while the rows are written, and all files
+with their sizes. A version that was not finished is never read, and a changed file is noticed.
+
+The order tables of a folder are mapped and stored on first use, and again when they change.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import json
 import tempfile
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from revolva.operators import checks
 from revolva.plans.portfolio import Portfolio
-from revolva.sources import mapping
+from revolva.sources import files, mapping
 from revolva.sources.dirty import with_faults
-from revolva.sources.schemas import CLUSTER_KEY
+from revolva.sources.readers import check_panel
+from revolva.sources.schemas import CLUSTER_KEY, TABLES
 
-LINES_PER_BUCKET = 20_000_000
+MANIFEST = "manifest.json"
+MONTH = "period_month"
+ORDER_TABLES = ("customer", "nation", "region", "orders", "lineitem")
+#: Bytes of order lines for each bucket and month from which months get files of their own.
+MONTH_BYTES = 4 << 20
 
-_stored: dict[tuple[str, str], Portfolio] = {}
+_stored: dict[tuple[str, str], tuple[str, Portfolio]] = {}
 _lock = threading.Lock()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+class StoreChanged(ValueError):
+    """The files of a store are not those that its manifest lists."""
+
+
+def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     Only a local session may fall back to a temporary folder of its own.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder and sc.master.startswith("local"):
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="revolva-")
-    if folder and not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: a cut of lineage that survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder.rstrip('/')}/revolva-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/revolva-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(spark: SparkSession, lines: int) -> int:
-    """At least one bucket per core, more as the data grows."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_BUCKET))
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Changes whenever a file of the order tables does."""
+    return hashlib.md5(json.dumps(_inputs(spark, sf_dir)).encode()).hexdigest()
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> dict[str, list[files.File]]:
+    return {t: files.listing(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ORDER_TABLES}
+
+
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Portfolio:
@@ -65,50 +92,191 @@ def derive(spark: SparkSession, sf_dir: str) -> Portfolio:
     return Portfolio(mapping.customers(people), mapping.cards(people), stmts, mapping.writeoffs(stmts))
 
 
-def _write_bucketed(df: DataFrame, table: str, name: str, folder: str, buckets: int) -> DataFrame:
-    """Write a frame that is hash-partitioned by its key: one file per bucket."""
+@dataclass(frozen=True)
+class Stored:
+    """One table of a stored version."""
+
+    name: str
+    schema: str
+    buckets: int
+    monthly: bool
+    last_month: str | None
+    quality: dict[str, int]
+    files: list[files.File]
+
+
+def _sorting(name: str, monthly: bool) -> list[str]:
     key = CLUSTER_KEY[name]
-    order = ["period_month", key] if name == "statements" else [key]
-    (
-        df.write.mode("overwrite")
-        .option("path", f"{folder.rstrip('/')}/{table}")
-        .bucketBy(buckets, key)
-        .sortBy(*order)
-        .saveAsTable(table)
+    return [MONTH, key] if name == "statements" and not monthly else [key]
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"revolva_{hashlib.md5(path.encode()).hexdigest()[:12]}_{name}"
+
+
+def _write(df: DataFrame, name: str, path: str, buckets: int, spread: bool, by_month: bool = False) -> Stored:
+    """Write a table below ``path`` and count its faults on the way. ``spread`` deals rows to buckets first."""
+    spark, key = df.sparkSession, CLUSTER_KEY[name]
+    panel, clustered = name == "statements", name != "customers"
+    monthly = panel and by_month
+    counts = checks.ROW_CHECKS.get(name, {})
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    if spread and clustered:
+        df = df.repartition(buckets, key)
+    month = F.col(MONTH).cast("string") if panel else F.lit(None).cast("string")
+    observed = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.max(month).alias("last_month"),
+        *[F.count_if(test()).alias(check) for check, test in counts.items()],
     )
-    return df.sparkSession.table(table)
+    writer = observed.write.mode("error")
+    if monthly:
+        writer = writer.partitionBy(MONTH)
+    table = _table_name(path, name)
+    if clustered:
+        writer.option("path", f"{path}/{name}").bucketBy(buckets, key).sortBy(*_sorting(name, monthly)).saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")  # its files stay; open_store declares it from the manifest
+    else:
+        writer.parquet(f"{path}/{name}")
+    schema = json.dumps(df.schema.jsonValue())
+    quality = dict(seen.get)
+    last = quality.pop("last_month")
+    return Stored(name, schema, buckets if clustered else 0, monthly, last, quality, files.listing(spark, f"{path}/{name}"))
+
+
+def _declare(spark: SparkSession, path: str, table: Stored) -> DataFrame:
+    """The frame of a stored table; a bucketed one becomes a table of the session's catalog."""
+    schema = T.StructType.fromJson(json.loads(table.schema))
+    columns = [f.name for f in schema]
+    if not table.buckets:
+        return spark.read.schema(schema).parquet(f"{path}/{table.name}")
+    name = _table_name(path, table.name)
+    if not spark.catalog.tableExists(name):
+        key = CLUSTER_KEY[table.name]
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by_month = f"PARTITIONED BY ({MONTH})" if table.monthly else ""
+        spark.sql(
+            f"CREATE TABLE {name} ({fields}) USING parquet {by_month} "
+            f"CLUSTERED BY ({key}) SORTED BY ({', '.join(_sorting(table.name, table.monthly))}) "
+            f"INTO {table.buckets} BUCKETS LOCATION '{path}/{table.name}'"
+        )
+        months = sorted({f[0].partition("/")[0] for f in table.files})
+        if table.monthly and months:
+            added = " ".join("PARTITION ({}='{}')".format(*m.split("=")) for m in months)
+            spark.sql(f"ALTER TABLE {name} ADD {added}")
+    return spark.table(name).select(columns)
+
+
+def _publish(spark: SparkSession, folder: str, version: str, tables: list[Stored], source: str | None, replace: bool) -> None:
+    manifest = {
+        "version": version,
+        "source": source,
+        "last_month": next(t.last_month for t in tables if t.name == "statements"),
+        "tables": [vars(t) for t in sorted(tables, key=lambda t: t.name)],
+    }
+    if not files.publish(spark, f"{folder}/{MANIFEST}", json.dumps(manifest, indent=1), replace):
+        raise FileExistsError(f"{folder} holds a portfolio; save with replace=True")
+
+
+def save(p: Portfolio, folder: str, buckets: int | None = None, by_month: bool = True, replace: bool = False) -> Portfolio:
+    """Store a portfolio of one's own below ``folder`` and open it.
+
+    ``buckets`` (default: spark.sql.shuffle.partitions) should give buckets of one month some
+    100 MB; with ``by_month`` False, the months of a bucket share a file. Repeated (card, month) keys are refused before the version becomes valid. With
+    ``replace``, a version that was there stays valid until the new one is published, and
+    is deleted then. A version that fails leaves the folder as it was.
+    """
+    spark, folder = p.statements.sparkSession, folder.rstrip("/")
+    if not replace and files.exists(spark, f"{folder}/{MANIFEST}"):
+        raise FileExistsError(f"{folder} holds a portfolio; save with replace=True")
+    before = manifest(spark, folder)["version"] if files.exists(spark, f"{folder}/{MANIFEST}") else None
+    count = buckets or default_buckets(spark)
+    version = f"version-{uuid.uuid4().hex}"
+    path = f"{folder}/{version}"
+    try:
+        with ThreadPoolExecutor(len(TABLES) + 1) as pool:
+            frames = {name: getattr(p, name) for name in TABLES} | {"holders": p.holders}
+            tables = list(pool.map(lambda x: _write(x[1], x[0], path, count, True, by_month), frames.items()))
+        stored = {t.name: t for t in tables}
+        check_panel(_declare(spark, path, stored["statements"]))
+        _publish(spark, folder, version, tables, None, replace)
+    except BaseException:
+        files.remove(spark, path)
+        raise
+    if before:
+        files.remove(spark, f"{folder}/{before}")
+    return open_store(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> dict:
+    """What the valid version of a store holds, also the counts of the quality checks."""
+    path = f"{folder.rstrip('/')}/{MANIFEST}"
+    if not files.exists(spark, path):
+        raise FileNotFoundError(f"no portfolio is stored in {folder}")
+    return json.loads(files.read(spark, path))
+
+
+def open_store(spark: SparkSession, folder: str, check: bool = True) -> Portfolio:
+    """The portfolio stored in a folder, in this or any later session.
+
+    With ``check``, files are listed and compared with the manifest first, by name and size.
+    """
+    folder = folder.rstrip("/")
+    held = manifest(spark, folder)
+    path = f"{folder}/{held['version']}"
+    frames = {}
+    for entry in held["tables"]:
+        table = Stored(**entry)
+        if check:
+            now = [f[:2] for f in files.listing(spark, f"{path}/{table.name}")]
+            if now != [tuple(f[:2]) for f in table.files]:
+                raise StoreChanged(f"the files of {table.name} in {folder} are not those of its manifest")
+        frames[table.name] = _declare(spark, path, table)
+    last = held["last_month"] and date.fromisoformat(held["last_month"])
+    return Portfolio(*[frames[t] for t in TABLES], stored_holders=frames["holders"], last_month=last)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Portfolio:
-    """The mapped portfolio of an order book, stored on first use."""
+    """The mapped portfolio of an order book, stored on first use and whenever the book changes."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    source = fingerprint(spark, key[1])
     with _lock:
-        if key not in _stored:
-            folder = shared_folder(spark)
-            if folder is None:
-                return derive(spark, sf_dir)
-            _stored[key] = _store(spark, key, folder)
-        return _stored[key]
-
-
-def _store(spark: SparkSession, key: tuple[str, str], folder: str) -> Portfolio:
-    digest = hashlib.md5("|".join(key).encode()).hexdigest()[:12]
-    buckets = bucket_count(spark, spark.read.parquet(f"{key[1]}/lineitem.parquet").count())
+        known = _stored.get(key)
+        if known is None or known[0] != source:
+            known = _stored[key] = (source, _store(spark, key[1], source))
+        return known[1]
 
-    def store(name: str, df: DataFrame, clustered: bool = False) -> DataFrame:
-        if not clustered:
-            df = df.repartition(buckets, CLUSTER_KEY[name])
-        return _write_bucketed(df, f"revolva_{digest}_{name}", name, folder, buckets)
 
-    people = mapping.holders(spark, key[1])
-    customers, cards = store("customers", mapping.customers(people)), store("cards", mapping.cards(people))
+def _store(spark: SparkSession, sf_dir: str, source: str) -> Portfolio:
+    folder = f"{shared_folder(spark)}/revolva-portfolio-{source}-{spark.sparkContext.applicationId}"
+    if files.exists(spark, f"{folder}/{MANIFEST}"):
+        return open_store(spark, folder)
+    count = default_buckets(spark)
+    version = f"version-{uuid.uuid4().hex}"
+    path = f"{folder}/{version}"
+    people = mapping.holders(spark, sf_dir)
     # Both sides of the join are spread over the buckets beforehand, so that the
     # joined statements are already where the write needs them.
-    act = mapping.activity(spark, key[1]).repartition(buckets, "card_id")
-    stmts = store("statements", mapping.statements(people.repartition(buckets, "card_id"), act), clustered=True)
-    losses = store("writeoffs", mapping.writeoffs(stmts))
-    holders = store("holders", Portfolio(customers, cards, stmts, losses).holders)
-    return Portfolio(customers, cards, stmts, losses, holders)
+    act = mapping.activity(spark, sf_dir).repartition(count, "card_id")
+    stmts = mapping.statements(people.repartition(count, "card_id"), act)
+    customers, cards = mapping.customers(people), mapping.cards(people)
+    holders = Portfolio(customers, cards, stmts, stmts).holders
+
+    lines = sum(size for _, size, _ in _inputs(spark, sf_dir)["lineitem"])
+    by_month = lines >= MONTH_BYTES * count * mapping.MONTHS
+
+    def panel() -> list[Stored]:
+        written = _write(stmts, "statements", path, count, False, by_month)
+        losses = mapping.writeoffs(_declare(spark, path, written))
+        return [written, _write(losses, "writeoffs", path, count, False)]
+
+    with ThreadPoolExecutor(4) as pool:
+        first = pool.submit(panel)
+        others = [pool.submit(_write, df, name, path, count, True) for name, df in (("customers", customers), ("cards", cards), ("holders", holders))]
+        tables = first.result() + [x.result() for x in others]
+    _publish(spark, folder, version, tables, source, False)
+    return open_store(spark, folder, check=False)
 
 
 def load_dirty(spark: SparkSession, sf_dir: str) -> Portfolio:

@@ -64,7 +64,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_buckets_grow_with_the_data(spark):
-    assert store.bucket_count(spark, 10) == 8
-    assert store.bucket_count(spark, 20_000_000_000) == 1000
-    assert store.bucket_count(spark, 10**15) == 50_000_000
+def test_buckets_come_from_the_configuration(spark):
+    assert store.default_buckets(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(Session)
