@@ -2,9 +2,11 @@
 
 A pre-token of a byte-level tokenizer never goes on from a visible character into white
 space, so a text may be encoded piece by piece, cut before each run of white space.
-Pieces repeat, so each Python worker keeps the ids of those that it has seen. A text with
-white space other than blank, tab and line ends is encoded in one go. The tests compare
-both ways on whole tables.
+Pieces repeat, so each Python worker keeps the ids of those that it has seen. New ones that
+begin with white space are put together for one call of the library, as it would cut there
+anyway, and the ids are dealt out by the bytes that each token stands for. A text with white
+space other than blank, tab and line ends is encoded in one go. The tests compare both
+ways on whole tables.
 
 The operators call the library as it is: a string of a special token in a text is that
 token. It holds no white space, so the cut stays exact.
@@ -25,6 +27,8 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces that a worker remembers (about 250 bytes each).
 REMEMBERED = 800_000
+#: New pieces of a call.
+JOINED = 1000
 
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space and format characters but blank, tab, line feed and carriage return.
@@ -45,6 +49,13 @@ class Encoder:
         self.wide = self._tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self._code = "I" if self.wide else "H"
+        # Bytes of each token: in a byte-level vocabulary one character stands for one byte.
+        names = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self._bytes[i] = len(name)
+        for i, added in self._tokenizer.get_added_tokens_decoder().items():
+            self._bytes[i] = len(added.content.encode())
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -64,15 +75,35 @@ class Encoder:
         known = self._ids
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(set().union(*(c for c in cut if c)).difference(known))
-        for at in range(0, len(new), 4000):
-            some = new[at : at + 4000]
+        new = set().union(*(c for c in cut if c)).difference(known)
+        alone = [p for p in new if p[0] not in " \n\t\r"]
+        for at in range(0, len(alone), 4000):
+            some = alone[at : at + 4000]
             ids = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             known.update(zip(some, [array(self._code, i).tobytes() for i in ids]))
+        new.difference_update(alone)
+        after_space = list(new)
+        for at in range(0, len(after_space), JOINED):
+            self._learn(after_space[at : at + JOINED])
         look = known.__getitem__
         return [self.whole(t).tobytes() if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
 
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces that all begin with white space."""
+        text = "".join(pieces)
+        found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(found, self.dtype)
+        ends = np.cumsum(list(map(len, pieces if text.isascii() else [p.encode() for p in pieces])))
+        reached = np.cumsum(self._bytes[ids])
+        places = np.searchsorted(reached, ends) + 1
+        if not np.array_equal(reached[places - 1], ends):
+            raise ValueError("a token spans white space: the vocabulary is not of the kind that is expected")
+        data, size = ids.tobytes(), self.dtype.itemsize
+        places = (places * size).tolist()
+        self._ids.update(zip(pieces, [data[a:b] for a, b in zip([0, *places], places)]))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
