@@ -3,8 +3,8 @@
 A pre-token of a byte-level tokenizer never goes on from a visible character into white
 space, so a text may be encoded piece by piece, cut before each run of white space.
 Pieces repeat, so each Python worker keeps the ids of those that it has seen. New ones that
-begin with white space are put together for one call of the library, as it would cut there
-anyway, and the ids are dealt out by the bytes that each token stands for. A text with white
+begin with white space and end without are put together for one call of the library, as it
+would cut there anyway, and the ids are dealt out by the bytes that each token stands for. A text with white
 space other than blank, tab and line ends is encoded in one go. The tests compare both
 ways on whole tables.
 
@@ -30,6 +30,7 @@ REMEMBERED = 800_000
 #: New pieces of a call.
 JOINED = 1000
 
+_SPACE = " \n\t\r"
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space and format characters but blank, tab, line feed and carriage return.
 _UNUSUAL = re.compile("[\x0b\x0c\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\x1c-\x1f\u2000-\u200f]")
@@ -76,7 +77,7 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
         new = set().union(*(c for c in cut if c)).difference(known)
-        alone = [p for p in new if p[0] not in " \n\t\r"]
+        alone = [p for p in new if p[0] not in _SPACE or p[-1] in _SPACE]
         for at in range(0, len(alone), 4000):
             some = alone[at : at + 4000]
             ids = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -90,14 +91,14 @@ class Encoder:
 
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces that all begin with white space."""
+        """Remember the ids of pieces that all begin with white space and end without."""
         text = "".join(pieces)
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         ids = np.array(found, self.dtype)
         ends = np.cumsum(list(map(len, pieces if text.isascii() else [p.encode() for p in pieces])))
         reached = np.cumsum(self._bytes[ids])
         places = np.searchsorted(reached, ends) + 1
-        if not np.array_equal(reached[places - 1], ends):
+        if places[-1] > len(ids) or not np.array_equal(reached[places - 1], ends):
             raise ValueError("a token spans white space: the vocabulary is not of the kind that is expected")
         data, size = ids.tobytes(), self.dtype.itemsize
         places = (places * size).tolist()
