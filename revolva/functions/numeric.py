@@ -59,5 +59,23 @@ def total_if(condition: Column, c: Column | str) -> Column:
     return F.sum(F.when(condition, col(c).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
+def exact_sum(c: Column | str) -> Column:
+    """Sum of amounts at ten decimals as a wide decimal.
+
+    Whole numbers are added up, so the result is the same for every partitioning and order of rows,
+    to the last digit, up to 28 digits before the point.
+    """
+    return F.sum(canonical(c))
+
+
+def exact_mean(c: Column | str) -> Column:
+    return ratio(exact_sum(c), F.count(col(c)))
+
+
+def fixed_sum(c: Column | str, digits: int) -> Column:
+    """An exact sum, rounded half away from zero."""
+    return F.round(exact_sum(c), digits).cast("double")
+
+
 def rows() -> Column:
     return F.count(F.lit(1))

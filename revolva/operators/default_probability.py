@@ -91,10 +91,11 @@ def risk_driver(util: Column, dpd: Column, late_months: Column, payr: Column, cf
     )
 
 
-def score_12m(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+def score_12m(p: Portfolio, cfg: RiskConfig = DEFAULTS, ordered: bool = False) -> DataFrame:
     """Behavioural score per card and limit, from features rounded beforehand.
 
-    Without any payment ratio there is no score, which reads as stage 1.
+    Without any payment ratio there is no score, which reads as stage 1. ``ordered`` sorts
+    all cards, the highest score first.
     """
     behaviour = p.statements.groupBy("card_id", "credit_limit").agg(
         fixed(F.avg(utilization()), 4).alias("avg_util"),
@@ -102,7 +103,7 @@ def score_12m(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         F.max("days_past_due").alias("max_dpd"),
         F.count_if(dpd_at_least(cfg.delinquent_dpd)).alias("del_months"),
         fixed(F.avg(payment_ratio()), 4).alias("avg_pay_ratio"),
-        F.count_distinct("period_month").alias("months_on_book"),
+        F.count("period_month").alias("months_on_book"),
     )
     driver = risk_driver(
         F.col("avg_util"), F.col("avg_dpd"), F.col("del_months"), F.col("avg_pay_ratio"), cfg
@@ -112,9 +113,9 @@ def score_12m(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .when(F.col("pd_score_12m") >= cfg.stage_2_score, "Stage 2 (Significant Increase)")
         .otherwise("Stage 1 (Performing)")
     )
-    return (
+    found = (
         behaviour.drop("credit_limit")
         .withColumn("pd_score_12m", fixed(logistic(driver), 4))
         .withColumn("ifrs9_stage", stage)
-        .orderBy(F.desc_nulls_last("pd_score_12m"), "card_id")
     )
+    return found.orderBy(F.desc_nulls_last("pd_score_12m"), "card_id") if ordered else found

@@ -14,7 +14,7 @@ from revolva.functions.bands import (
     payment_ratio,
     utilization,
 )
-from revolva.functions.numeric import fixed, percent, ratio, rows
+from revolva.functions.numeric import exact_mean, exact_sum, fixed, fixed_sum, percent, ratio, rows
 from revolva.operators.default_probability import risk_driver
 from revolva.plans.portfolio import Portfolio
 
@@ -62,14 +62,15 @@ def _stage(cfg: RiskConfig, third: str, second: str, first: str) -> Column:
     )
 
 
-def by_account(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
+def by_account(p: Portfolio, cfg: RiskConfig = DEFAULTS, ordered: bool = False) -> DataFrame:
+    """Expected loss of every card; ``ordered`` sorts all of them, the largest first."""
     stage = _stage(
         cfg,
         "Stage 3 (Credit-Impaired)",
         "Stage 2 (Significant Increase in CR)",
         "Stage 1 (Performing)",
     )
-    return (
+    found = (
         account_risk(p, "card_id", "credit_limit", cfg=cfg)
         .join(p.accounts, "card_id")
         .select(
@@ -88,8 +89,8 @@ def by_account(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             "max_dpd",
             stage.alias("ifrs9_stage"),
         )
-        .orderBy(F.desc_nulls_last("expected_loss"), "card_id")
     )
+    return found.orderBy(F.desc_nulls_last("expected_loss"), "card_id") if ordered else found
 
 
 def summary(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
@@ -101,10 +102,10 @@ def summary(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         account_risk(p, "card_id", cfg=cfg)
         .groupBy("lgd")
         .agg(
-            F.sum("ead").alias("total_ead"),
-            fixed(F.avg("pd_score"), 4).alias("avg_pd"),
-            fixed(F.sum(_loss()), 2).alias("total_expected_loss"),
-            percent(F.sum(_loss()), F.sum("ead"), 4).alias("el_rate_pct"),
+            exact_sum("ead").cast("double").alias("total_ead"),
+            fixed(exact_mean("pd_score"), 4).alias("avg_pd"),
+            fixed_sum(_loss(), 2).alias("total_expected_loss"),
+            percent(exact_sum(_loss()), exact_sum("ead"), 4).alias("el_rate_pct"),
             F.count_if(defaulted).alias("stage_3_accounts"),
             F.count_if(high & ~defaulted).alias("stage_2_accounts"),
             F.count_if(low).alias("stage_1_accounts"),
@@ -128,10 +129,10 @@ def by_stage(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .groupBy(_stage(cfg, "Stage 3", "Stage 2", "Stage 1").alias("ifrs9_stage"), "lgd")
         .agg(
             rows().alias("accounts"),
-            fixed(F.avg("pd_score"), 4).alias("avg_pd"),
-            fixed(F.sum("ead"), 0).alias("total_ead"),
-            fixed(F.sum(_loss()), 2).alias("total_expected_loss"),
-            percent(F.sum(_loss()), F.sum("ead"), 4).alias("el_rate_pct"),
+            fixed(exact_mean("pd_score"), 4).alias("avg_pd"),
+            fixed_sum("ead", 0).alias("total_ead"),
+            fixed_sum(_loss(), 2).alias("total_expected_loss"),
+            percent(exact_sum(_loss()), exact_sum("ead"), 4).alias("el_rate_pct"),
         )
         .select(
             "ifrs9_stage", "accounts", "avg_pd", "lgd", "total_ead", "total_expected_loss", "el_rate_pct"
@@ -147,10 +148,10 @@ def by_product(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .groupBy("product_type", "lgd")
         .agg(
             rows().alias("accounts"),
-            fixed(F.avg("pd_score"), 4).alias("avg_pd"),
-            fixed(F.sum("ead"), 0).alias("total_ead"),
-            fixed(F.sum(_loss()), 2).alias("total_expected_loss"),
-            fixed(F.avg(F.col("pd_score") * F.col("lgd")), 4).alias("avg_el_rate"),
+            fixed(exact_mean("pd_score"), 4).alias("avg_pd"),
+            fixed_sum("ead", 0).alias("total_ead"),
+            fixed_sum(_loss(), 2).alias("total_expected_loss"),
+            fixed(exact_mean(F.col("pd_score") * F.col("lgd")), 4).alias("avg_el_rate"),
         )
         .select(
             "product_type", "accounts", "avg_pd", "lgd", "total_ead", "total_expected_loss", "avg_el_rate"
@@ -164,7 +165,7 @@ def monthly_reserve(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     period_pd = fixed(ratio(F.count_if(dpd_at_least(cfg.default_dpd)), rows()), 4)
     return (
         p.statements.groupBy("period_month")
-        .agg(F.sum(exposure_at_default(cfg.ccf)).alias("ead"), period_pd.alias("pd"))
+        .agg(exact_sum(exposure_at_default(cfg.ccf)).cast("double").alias("ead"), period_pd.alias("pd"))
         .withColumn("lgd", portfolio_lgd(p))
         .select(
             "period_month",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revolva.config import DEFAULTS, RiskConfig
 from revolva.functions.bands import exposure_at_default, utilization
-from revolva.functions.numeric import fixed, percent, ratio, total
+from revolva.functions.numeric import exact_mean, exact_sum, fixed, fixed_sum, percent, ratio, rows, total
 from revolva.plans.portfolio import Portfolio
 
 # The scenarios of the sensitivity report.
@@ -35,11 +35,12 @@ def _ead(cfg: RiskConfig) -> Column:
 
 def _whole_ead(cfg: RiskConfig) -> Column:
     """Sum of exposures, each rounded to whole units first."""
-    return F.sum(fixed(_ead(cfg), 0))
+    return exact_sum(fixed(_ead(cfg), 0)).cast("double")
 
 
-def account_ead(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
-    return (
+def account_ead(p: Portfolio, cfg: RiskConfig = DEFAULTS, ordered: bool = False) -> DataFrame:
+    """Exposure of every card of the last month; ``ordered`` sorts all of them, the largest first."""
+    found = (
         p.latest_statements()
         .join(p.cards.select("card_id", "customer_id", "product_type"), "card_id")
         .select(
@@ -54,18 +55,18 @@ def account_ead(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
             F.col("credit_limit").alias("ead_ccf_100"),
             _with_drawn_part(0.50).alias("ead_ccf_50"),
         )
-        .orderBy(F.desc_nulls_last("ead_ccf_75"), "card_id")
     )
+    return found.orderBy(F.desc_nulls_last("ead_ccf_75"), "card_id") if ordered else found
 
 
 def portfolio_ead(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     return p.latest_statements().agg(
-        F.count_distinct("card_id").alias("total_accounts"),
+        rows().alias("total_accounts"),
         total("statement_balance").alias("total_current_balance"),
         total(_unused()).alias("total_unused_limit"),
-        fixed(F.sum(_ead(cfg)), 2).alias("portfolio_ead_75"),
+        fixed_sum(_ead(cfg), 2).alias("portfolio_ead_75"),
         total("credit_limit").alias("portfolio_ead_100"),
-        fixed(ratio(F.sum(_ead(cfg)), total("statement_balance")), 4).alias("ead_uplift_factor"),
+        fixed(ratio(exact_sum(_ead(cfg)), total("statement_balance")), 4).alias("ead_uplift_factor"),
     )
 
 
@@ -75,11 +76,11 @@ def ead_by_product(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .join(p.cards.select("card_id", "product_type"), "card_id")
         .groupBy("product_type")
         .agg(
-            F.count_distinct("card_id").alias("accounts"),
+            rows().alias("accounts"),
             fixed(F.avg("credit_limit"), 0).alias("avg_credit_limit"),
             fixed(F.avg("statement_balance"), 0).alias("avg_current_balance"),
             fixed(F.avg(utilization()), 4).alias("avg_utilization"),
-            fixed(F.avg(_ead(cfg)), 0).alias("avg_ead"),
+            fixed(exact_mean(_ead(cfg)), 0).alias("avg_ead"),
             _whole_ead(cfg).alias("total_ead"),
         )
         .orderBy(F.desc("total_ead"), "product_type")
@@ -92,9 +93,9 @@ def ead_by_income(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .join(p.accounts, "card_id")
         .groupBy("income_band")
         .agg(
-            F.count_distinct("card_id").alias("accounts"),
+            rows().alias("accounts"),
             fixed(F.avg("card_limit"), 0).alias("avg_limit"),
-            fixed(F.avg(_ead(cfg)), 0).alias("avg_ead"),
+            fixed(exact_mean(_ead(cfg)), 0).alias("avg_ead"),
             _whole_ead(cfg).alias("total_ead"),
             total(_unused()).alias("total_unused_limit"),
             percent(total(_unused()), total("credit_limit")).alias("unused_limit_pct"),
@@ -109,7 +110,7 @@ def ead_by_region(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .join(p.accounts, "card_id")
         .groupBy("region")
         .agg(
-            F.count_distinct("card_id").alias("accounts"),
+            rows().alias("accounts"),
             total("statement_balance").alias("current_exposure"),
             _whole_ead(cfg).alias("total_ead"),
             total("credit_limit").alias("max_possible_ead"),
@@ -144,8 +145,8 @@ def monthly_ead(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
         .agg(
             total("statement_balance").alias("current_balance"),
             total("credit_limit").alias("total_credit_limit"),
-            fixed(F.sum(_ead(cfg)), 2).alias("ead_75_ccf"),
-            percent(F.sum(_ead(cfg)), total("credit_limit")).alias("ead_utilization_pct"),
+            fixed_sum(_ead(cfg), 2).alias("ead_75_ccf"),
+            percent(exact_sum(_ead(cfg)), total("credit_limit")).alias("ead_utilization_pct"),
         )
         .orderBy("period_month")
     )

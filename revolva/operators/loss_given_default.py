@@ -84,8 +84,9 @@ def lgd_histogram(p: Portfolio) -> DataFrame:
     return groups.withColumn("pct_of_writeoffs", percent("writeoffs", everything)).orderBy("lgd_band")
 
 
-def lgd_account_detail(p: Portfolio) -> DataFrame:
-    return (
+def lgd_account_detail(p: Portfolio, ordered: bool = False) -> DataFrame:
+    """Every write-off of a known customer; ``ordered`` sorts all of them, the worst first."""
+    found = (
         p.writeoffs.join(p.accounts, "card_id")
         .select(
             "card_id",
@@ -100,8 +101,8 @@ def lgd_account_detail(p: Portfolio) -> DataFrame:
             fixed(ratio("recovery_amount", "writeoff_amount"), 4).alias("recovery_rate"),
             "writeoff_date",
         )
-        .orderBy(F.desc_nulls_last("lgd"), F.desc("net_loss"), "card_id")
     )
+    return found.orderBy(F.desc_nulls_last("lgd"), F.desc("net_loss"), "card_id") if ordered else found
 
 
 def lgd_by_limit_band(p: Portfolio) -> DataFrame:
