@@ -29,8 +29,6 @@ from revolva.llm.session import prepare, stored
 CAPACITY = 2048
 #: Pieces to a group.
 GROUP = 20_000
-#: Bins in a row that could not be emptied before the search ends.
-PATIENCE = 40
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -86,13 +84,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int = PATIENCE) -> np.ndarray:
-    """Local search from a packing: moves, one-for-one and two-for-one exchanges towards fuller bins."""
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Local search from a packing: moves, one-for-one and two-for-one exchanges towards fuller bins.
+
+    Every underfull bin is tried, the emptiest first, and all of them again once one is
+    emptied. It ends at the least possible number of bins, or when no bin can be emptied.
+    """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = -(-int(lengths.sum()) // capacity)
-    used, failed, tried = int((fill > 0).sum()), 0, np.zeros(len(fill), bool)
-    while used > least and failed < patience:
+    used, tried = int((fill > 0).sum()), np.zeros(len(fill), bool)
+    while used > least:
         open_ = np.flatnonzero((fill > 0) & (fill < capacity) & ~tried)
         if len(open_) < 2:
             break
@@ -131,10 +133,9 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int
             fill[to] += moved
             fill[source] -= moved
             near = np.flatnonzero((fill[bins] < capacity) & (bins != source))
-        if fill[source]:
-            failed += 1
-        else:
-            used, failed = used - 1, 0
+        if not fill[source]:
+            used -= 1
+            tried[:] = False
     return bins
 
 

@@ -211,3 +211,14 @@ def test_sums_of_a_batch_are_written_by_many_tasks(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_the_search_ends_when_no_bin_can_be_emptied():
+    """Lengths that best fit packs badly: the search comes closer to the bound, however many bins resist."""
+    lengths = np.random.default_rng(0).integers(600, 1100, 1500)
+    before = packing.best_fit(lengths, 2048)
+    after = packing.improve(lengths, before, 2048)
+    assert np.bincount(after, weights=lengths).max() <= 2048
+    least, used = -(-int(lengths.sum()) // 2048), len(np.unique(after))
+    assert least <= used < len(np.unique(before))
+    assert len(np.unique(packing.improve(lengths, np.unique(after, return_inverse=True)[1], 2048))) <= used
