@@ -126,7 +126,8 @@ class Field:
         for i, (a, b) in enumerate(self.spans):
             while at < len(held) and held[at][2] <= a and held[at][1] <= a:
                 at += 1
-            for kind, x, y in held[at:]:
+            for k in range(at, len(held)):
+                kind, x, y = held[k]
                 if x >= b:
                     break
                 if y > a and self.labels[i] < 0:
@@ -164,9 +165,11 @@ class Weights:
 SKIP_PRIOR = 6.0
 
 
-def fit(x: np.ndarray, near: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 0.3) -> Weights:
+def fit(x: np.ndarray, near: np.ndarray, y: np.ndarray, counts: np.ndarray, rounds: int = 400, ridge: float = 0.3) -> Weights:
     """Maximum pseudo-likelihood: each label given the token and the labels of its neighbours.
 
+    A row stands for as many equal tokens as ``counts`` says.
+
     A token with a skip edge is also learned with its looks hidden, so that the edge does not
     leave all to the looks. Weights are drawn to the prior: zero, but for equal labels over
     skip edges.
@@ -177,7 +180,7 @@ def fit(x: np.ndarray, near: np.ndarray, y: np.ndarray, rounds: int = 400, ridge
     blind = near[:, k:].sum(1) > 0
     hidden = np.zeros((int(blind.sum()), FEATURES))
     every = np.concatenate([np.concatenate([x, near], axis=1), np.concatenate([hidden, near[blind]], axis=1)])
-    y = np.concatenate([y, y[blind]])
+    y, counts = np.concatenate([y, y[blind]]), np.concatenate([counts, counts[blind]])
     w = prior.copy()
     moment, square = np.zeros_like(w), np.zeros_like(w)
     target = np.eye(k)[y]
@@ -185,7 +188,7 @@ def fit(x: np.ndarray, near: np.ndarray, y: np.ndarray, rounds: int = 400, ridge
         p = every @ w
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        slope = (every.T @ (p - target) + ridge * (w - prior)) / len(y)
+        slope = (every.T @ ((p - target) * counts[:, None]) + ridge * (w - prior)) / counts.sum()
         moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         w -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
     pair = w[FEATURES:].reshape(2, k, k)
@@ -264,9 +267,10 @@ def trained(documents: DataFrame, sample: int = SAMPLE) -> Weights:
     # At most ``sample`` ids.
     ids = labelled.some(docs.select("doc_id"), sample)
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(_train, "row array<double>")
-    # A token of a sampled document each; their order does not matter to the fit but for rounding.
-    every = np.array(sorted(r.row for r in rows.limit(100 * sample).collect()), float).reshape(-1, FEATURES + 2 * len(LABELS) + 1)
-    return fit(every[:, :FEATURES], every[:, FEATURES:-1], every[:, -1].astype(int))
+    # Equal tokens are counted where they are: what comes back are the different looks of tokens.
+    groups = rows.groupBy("row").count().collect()
+    every = np.array(sorted([*r.row, r["count"]] for r in groups), float).reshape(-1, FEATURES + 2 * len(LABELS) + 2)
+    return fit(every[:, :FEATURES], every[:, FEATURES:-2], every[:, -2].astype(int), every[:, -1])
 
 
 def _scan(batches, weights: Weights):

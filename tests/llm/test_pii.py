@@ -111,3 +111,28 @@ def test_odd_rows(spark, weights):
     assert [r.spans for r in rows if r.doc_id == 60] == ["email:0:14"]
     assert all(r.spans == "" for r in rows if r.doc_id != 60)
     assert pii.personal_data(documents(spark, [])).count() == 0
+
+
+def test_counted_rows_fit_like_repeated_ones():
+    rng = np.random.default_rng(2)
+    k = len(pii.LABELS)
+    x = np.hstack([np.ones((40, 1)), rng.integers(0, 2, (40, pii.FEATURES - 1))]).astype(float)
+    near, y, counts = rng.integers(0, 3, (40, 2 * k)).astype(float), rng.integers(0, k, 40), rng.integers(1, 6, 40)
+    counted = pii.fit(x, near, y, counts.astype(float))
+    single = pii.fit(*(np.repeat(v, counts, axis=0) for v in (x, near, y)), np.ones(counts.sum()))
+    assert np.allclose(counted.unary, single.unary, atol=1e-6) and np.allclose(counted.pair, single.pair, atol=1e-6)
+
+
+def test_many_addresses_in_a_text_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i % 7}.example.com" for i in range(n))
+        base = pii.base_spans(text)
+        start = time.process_time()
+        field = pii.Field(text, base)
+        assert len(base) == n and (field.labels >= 0).sum() == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.02)
