@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import clashing, documents, odd_rows
 
 from revolva.llm import decontamination as d
@@ -89,11 +90,70 @@ def test_odd_rows(spark):
 
 def test_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
-    group = d._Items(9, [(i, rng.integers(0, 1 << 63, 5).astype(np.uint64)) for i in range(40)], 5)
+    held = rng.integers(0, 1 << 63, 40).astype(np.uint64)
     for far in range(d.RADIUS + 1):
         flips = sum(1 << int(b) for b in rng.choice(64, far, replace=False))
-        prints = group.prints ^ np.uint64(flips)
-        window, item, distance = group.within(prints)
-        assert {(i, i, far) for i in range(40)} <= set(zip(window.tolist(), item.tolist(), distance.tolist()))
-        all_pairs = np.bitwise_count(prints[:, None] ^ group.prints[None, :])
-        assert len(window) == int((all_pairs <= d.RADIUS).sum())
+        prints = held ^ np.uint64(flips)
+        met, distance = d.compared(prints[:, None], held[None, :])
+        assert met.diagonal().all() and (distance.diagonal() == far).all()
+        assert int(met.sum()) == int((np.bitwise_count(prints[:, None] ^ held[None, :]) <= d.RADIUS).sum())
+
+
+
+def _crowded(items, words=30, seed=5):
+    rng = random.Random(seed)
+    lexicon = [f"w{i}" for i in range(4000)]
+    return [(i, " ".join(rng.choices(lexicon, k=words))) for i in range(items)]
+
+
+def test_a_document_that_holds_much_of_the_benchmark():
+    """2,000 of 4,000 items in one text: all are found, in seconds and without much memory."""
+    import time
+    import tracemalloc
+
+    items = _crowded(4000)
+    index = d.Index(items, d.SHINGLE, d.PERCENT)
+    hashes, _ = d.text_words(pa.array([" and so on ".join(t for _, t in items[:2000])]))
+    tracemalloc.start()
+    start = time.process_time()
+    found = index.matches(hashes)
+    spent, (_, peak) = time.process_time() - start, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sorted(m[0] for m in found) == list(range(2000))
+    assert all(m[-1] == 1.0 and m[3] == 0 for m in found)
+    assert spent < 10 and peak < 300e6  # tracing alone doubles the time
+
+
+def test_equal_to_all_windows_on_crowded_texts():
+    """Items that share most shingles, copies among them, and texts that hold them changed or cut."""
+    rng = random.Random(6)
+    base = _crowded(6, words=24)
+    items = [(10 * i + k, " ".join(w if rng.random() > k / 30 else "x" for w in t.split())) for i, t in base for k in range(5)]
+    items += [(90, items[0][1]), (91, "one two three"), (92, "one"), (93, base[0][1] + " " + base[1][1])]
+    texts = [" ".join(rng.sample([t for _, t in items], 9)) for _ in range(4)]
+    texts += [" ".join(w for w in base[2][1].split() if rng.random() > 0.06), base[3][1][:80], "one two three one"]
+    docs = list(enumerate(texts))
+    index = d.Index(items, d.SHINGLE, d.PERCENT)
+    got = {}
+    for i, t in docs:
+        hashes, _ = d.text_words(pa.array([t]))
+        got |= {(i, m[0]): m[-1] for m in index.matches(hashes)}
+    assert near(got, brute(docs, items))
+
+
+def test_small_slices_and_regions_change_nothing(monkeypatch):
+    items = _crowded(60, words=20)
+    text = " ".join(t for _, t in items)
+    index = d.Index(items, d.SHINGLE, d.PERCENT)
+    hashes, _ = d.text_words(pa.array([text]))
+    want = sorted(index.matches(hashes))
+    monkeypatch.setattr(d, "PAIRS", 7)
+    monkeypatch.setattr(d, "REGION", 5)
+    assert sorted(index.matches(hashes)) == want and len(want) == 60
+
+
+def test_ties_go_to_the_first_window():
+    item = "a b c d e f g h i j"
+    index = d.Index([(1, item)], d.SHINGLE, d.PERCENT)
+    hashes, _ = d.text_words(pa.array([f"{item} x y z {item}"]))
+    assert index.matches(hashes) == [(1, 0, 10, 0, 1.0)]
