@@ -189,6 +189,24 @@ def exports() -> dict[str, str]:
         "export_roll": compose(ROLL_LONG, "moves"),
         "export_segments": compose("SELECT * FROM segments", "segments"),
         "export_expected_loss": compose("SELECT * FROM el_wide", "el_wide"),
+        "export_files": compose(
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS export, count(*) AS rows FROM ({body})"
+                for name, body in (
+                    ("T1_portfolio_overview", "SELECT * FROM wide"),
+                    ("T2_monthly_trend", MONTHLY),
+                    ("T3_vintage_curves", CURVES),
+                    ("T4_roll_rate_matrix", ROLL_LONG),
+                    ("T5_utilization_segments", "SELECT * FROM segments"),
+                    ("T6_expected_loss", "SELECT * FROM el_wide"),
+                )
+            ),
+            "wide",
+            "aged",
+            "moves",
+            "segments",
+            "el_wide",
+        ),
         "score_auc": compose(
             f"""
             SELECT {rnd('CAST(sum(CASE WHEN a.pd_score > b.pd_score THEN 2 WHEN a.pd_score = b.pd_score THEN 1 ELSE 0 END * a.n * b.n) AS DOUBLE) / (2 * sum(a.n * b.n))', 8)} AS roc_auc

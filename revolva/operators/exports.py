@@ -5,7 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revolva.config import DEFAULTS, RiskConfig
@@ -13,8 +18,11 @@ from revolva.functions.numeric import ratio, rows, total
 from revolva.operators import charts, frames
 from revolva.plans import sampling
 from revolva.plans.portfolio import Portfolio
+from revolva.sources import files
 from revolva.sources.readers import write_csv
 
+MANIFEST = "exports.json"
+
 
 def portfolio(p: Portfolio, cfg: RiskConfig = DEFAULTS) -> DataFrame:
     """The whole master table with its features."""
@@ -96,9 +104,59 @@ EXPORTS = {
 }
 
 
-def write_all(p: Portfolio, folder: str) -> None:
-    for name, build in EXPORTS.items():
-        write_csv(build(p), f"{folder.rstrip('/')}/{name}")
+def write_all(p: Portfolio, folder: str) -> dict[str, int]:
+    """Write the six exports as CSV folders below ``folder``, all or none, and give their numbers of rows.
+
+    They are written beside first and moved when all are whole; a manifest with rows and
+    files, published last, makes them valid. If the manifest says that the same stored version was
+    exported and its files are still there, nothing is written.
+    """
+    spark, folder = p.statements.sparkSession, folder.rstrip("/")
+    held = exported(spark, folder)
+    if held and p.version is not None and held["version"] == p.version:
+        return held["rows"]
+    staged = f"{folder}/.staged-{uuid.uuid4().hex}"
+
+    def write(item) -> tuple[str, int]:
+        seen = Observation(f"{item[0]}-{uuid.uuid4().hex}")
+        write_csv(item[1](p).observe(seen, rows().alias("rows")), f"{staged}/{item[0]}")
+        return item[0], int(seen.get["rows"])
+
+    try:
+        with ThreadPoolExecutor(len(EXPORTS)) as pool:
+            counts = dict(pool.map(write, EXPORTS.items()))
+        files.remove(spark, f"{folder}/{MANIFEST}")
+        for name in EXPORTS:
+            files.remove(spark, f"{folder}/{name}")
+            files.move(spark, f"{staged}/{name}", f"{folder}/{name}")
+    finally:
+        files.remove(spark, staged)
+    listed = {name: files.listing(spark, f"{folder}/{name}") for name in EXPORTS}
+    files.publish(spark, f"{folder}/{MANIFEST}", json.dumps({"version": p.version, "rows": counts, "files": listed}, indent=1), replace=True)
+    return counts
+
+
+def exported(spark: SparkSession, folder: str) -> dict | None:
+    """The manifest of the exports in a folder, or None if they are missing, unfinished or changed."""
+    folder = folder.rstrip("/")
+    if not files.exists(spark, f"{folder}/{MANIFEST}"):
+        return None
+    held = json.loads(files.read(spark, f"{folder}/{MANIFEST}"))
+    for name, listed in held["files"].items():
+        if not files.exists(spark, f"{folder}/{name}"):
+            return None
+        if [f[:2] for f in files.listing(spark, f"{folder}/{name}")] != [tuple(f[:2]) for f in listed]:
+            return None
+    return held
+
+
+def export_files(p: Portfolio, folder: str) -> DataFrame:
+    """(export, rows): the six exports as written below ``folder``, counted by reading their files back."""
+    spark = p.statements.sparkSession
+    counts = write_all(p, folder)
+    read = {name: spark.read.option("header", True).csv(f"{folder.rstrip('/')}/{name}") for name in counts}
+    parts = [df.agg(rows().alias("rows")).select(F.lit(name).alias("export"), "rows") for name, df in read.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def final_summary(p: Portfolio, auc: DataFrame | None = None, cfg: RiskConfig = DEFAULTS) -> DataFrame:

@@ -18,6 +18,8 @@ class Portfolio:
     stored_holders: DataFrame | None = None
     # Known for a stored portfolio, whose statements are partitioned by month.
     last_month: date | None = None
+    # Names the stored rows: equal versions hold equal rows.
+    version: str | None = None
 
     @property
     def holders(self) -> DataFrame:

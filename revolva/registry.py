@@ -252,6 +252,11 @@ def _final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.final_summary(store.load(spark, sf_dir), score)
 
 
+def _export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = store.load(spark, sf_dir)
+    return exports.export_files(p, f"{store.shared_folder(spark)}/revolva-exports-{p.version}")
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, op in ON_CLEAN.items():
@@ -261,4 +266,5 @@ def build() -> dict[str, Query]:
     for name, op in ON_MODEL.items():
         out[name] = lambda spark, sf_dir, op=op: op(fitted_model(spark, sf_dir))
     out["final_summary"] = _final_summary
+    out["export_files"] = _export_files
     return out

@@ -74,3 +74,10 @@ def publish(spark: SparkSession, path: str, text: str, replace: bool = False) ->
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _open(spark, path)
     fs.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder or file another name in the same file system, which is not taken."""
+    fs, where = _open(spark, path)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} cannot be moved to {to}")

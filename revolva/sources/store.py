@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revolva.operators import checks
+from revolva.config import DEFAULTS, RiskConfig
+from revolva.operators import checks, views
 from revolva.plans.portfolio import Portfolio
 from revolva.sources import files, mapping
 from revolva.sources.dirty import with_faults
@@ -146,26 +147,21 @@ def _write(df: DataFrame, name: str, path: str, buckets: int, spread: bool, by_m
 
 
 def _declare(spark: SparkSession, path: str, table: Stored) -> DataFrame:
-    """The frame of a stored table; a bucketed one becomes a table of the session's catalog."""
+    """The frame of a stored table, which becomes a table of the session's catalog."""
     schema = T.StructType.fromJson(json.loads(table.schema))
-    columns = [f.name for f in schema]
-    if not table.buckets:
-        return spark.read.schema(schema).parquet(f"{path}/{table.name}")
     name = _table_name(path, table.name)
     if not spark.catalog.tableExists(name):
-        key = CLUSTER_KEY[table.name]
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        by_month = f"PARTITIONED BY ({MONTH})" if table.monthly else ""
-        spark.sql(
-            f"CREATE TABLE {name} ({fields}) USING parquet {by_month} "
-            f"CLUSTERED BY ({key}) SORTED BY ({', '.join(_sorting(table.name, table.monthly))}) "
-            f"INTO {table.buckets} BUCKETS LOCATION '{path}/{table.name}'"
-        )
+        layout = f"PARTITIONED BY ({MONTH}) " if table.monthly else ""
+        if table.buckets:
+            order = ", ".join(_sorting(table.name, table.monthly))
+            layout += f"CLUSTERED BY ({CLUSTER_KEY[table.name]}) SORTED BY ({order}) INTO {table.buckets} BUCKETS "
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet {layout}LOCATION '{path}/{table.name}'")
         months = sorted({f[0].partition("/")[0] for f in table.files})
         if table.monthly and months:
             added = " ".join("PARTITION ({}='{}')".format(*m.split("=")) for m in months)
             spark.sql(f"ALTER TABLE {name} ADD {added}")
-    return spark.table(name).select(columns)
+    return spark.table(name).select(schema.fieldNames())
 
 
 def _publish(spark: SparkSession, folder: str, version: str, tables: list[Stored], source: str | None, replace: bool) -> None:
@@ -234,7 +230,23 @@ def open_store(spark: SparkSession, folder: str, check: bool = True) -> Portfoli
                 raise StoreChanged(f"the files of {table.name} in {folder} are not those of its manifest")
         frames[table.name] = _declare(spark, path, table)
     last = held["last_month"] and date.fromisoformat(held["last_month"])
-    return Portfolio(*[frames[t] for t in TABLES], stored_holders=frames["holders"], last_month=last)
+    return Portfolio(
+        *[frames[t] for t in TABLES], stored_holders=frames["holders"], last_month=last, version=held["version"]
+    )
+
+
+def create_views(spark: SparkSession, folder: str, cfg: RiskConfig = DEFAULTS) -> list[str]:
+    """Create the six feature views over a stored portfolio, in the current database, or replace them.
+
+    Tables and views are defined by text: a catalog that outlives the session keeps both.
+    """
+    folder = folder.rstrip("/")
+    open_store(spark, folder)
+    path = f"{folder}/{manifest(spark, folder)['version']}"
+    named = views.texts({t: _table_name(path, t) for t in TABLES}, cfg)
+    for name, text in named.items():
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {text}")
+    return list(named)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Portfolio:

@@ -1,5 +1,10 @@
+import glob
+import os
+from dataclasses import replace
+
 import pytest
 from panels import statement
+from pyspark.sql import functions as F
 
 from revolva.operators import exports, features
 from revolva.sources import readers, schemas, store
@@ -49,6 +54,28 @@ def test_six_exports(spark, p, tmp_path):
         assert back.count() == want.count() > 0
 
 
+def test_exports_appear_together_and_once(spark, p, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/out"
+    counts = exports.write_all(p, folder)
+    assert counts == {name: build(p).count() for name, build in exports.EXPORTS.items()}
+    assert {r.export: r.rows for r in exports.export_files(p, folder).collect()} == counts
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/**", recursive=True)}
+    assert exports.write_all(p, folder) == counts
+    assert {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/**", recursive=True)} == before
+    # A run that fails leaves the former exports valid, and nothing of its own.
+    broken = {**exports.EXPORTS, "T6_expected_loss": lambda p: p.cards.withColumn("card_id", F.raise_error(F.lit("broken")).cast("string"))}
+    with monkeypatch.context() as m:
+        m.setattr(exports, "EXPORTS", broken)
+        with pytest.raises(Exception, match="broken"):
+            exports.write_all(replace(p, version="another"), folder)
+    assert exports.exported(spark, folder)["rows"] == counts
+    assert not [x for x in os.listdir(folder) if x.startswith(".staged")]
+    # Lost or changed files are written again.
+    os.remove(glob.glob(f"{folder}/T2_monthly_trend/part-*.csv")[0])
+    assert exports.exported(spark, folder) is None
+    assert exports.write_all(p, folder) == counts and exports.exported(spark, folder)["rows"] == counts
+
+
 def test_views_answer_sql(spark, p):
     p.create_views()
     for name, build in features.VIEWS.items():

@@ -11,7 +11,7 @@ from panels import statement
 from pyspark.sql import functions as F
 
 from revolva import registry
-from revolva.operators import quality
+from revolva.operators import features, quality
 from revolva.operators.checks import ROW_CHECKS
 from revolva.sources import dirty, files, readers, schemas, store
 from test_plans import PER_CARD
@@ -110,6 +110,37 @@ print("ROWS", p.statements.count(), p.last_month, migration.roll_matrix(p).first
     assert want in done.stdout
 
 
+def test_views_over_the_store_equal_the_operators(spark, folder, p):
+    assert store.create_views(spark, folder) == list(features.VIEWS)
+    assert store.create_views(spark, folder) == list(features.VIEWS)  # replaces them
+    for name, build in features.VIEWS.items():
+        got, want = spark.table(name), build(p)
+        assert got.columns == want.columns
+        doubles = {f.name for f in want.schema if f.dataType.simpleString() == "double"}
+        shown = lambda df: df.select(*[F.round(c, 6).alias(c) if c in doubles else c for c in df.columns])
+        assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema], name
+        assert shown(got).exceptAll(shown(want)).count() == 0 and got.count() == want.count() > 0, name
+    for name in features.VIEWS:
+        spark.sql(f"DROP VIEW {name}")
+
+
+def test_a_new_session_has_the_views(folder, spark, p):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from revolva.sources import store
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.warehouse.dir", {folder + "-views"!r}).getOrCreate())
+store.create_views(spark, {folder!r})
+row = spark.sql("SELECT ewi_flag, count(*) AS n FROM vw_early_warning_indicators GROUP BY ewi_flag ORDER BY ewi_flag").collect()
+print("FLAGS", [(r.ewi_flag, r.n) for r in row])
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=folder)
+    assert done.returncode == 0, done.stderr[-2000:]
+    want = features.early_warning(p).groupBy("ewi_flag").count().orderBy("ewi_flag").collect()
+    assert f"FLAGS {[(r.ewi_flag, r['count']) for r in want]}" in done.stdout
+
+
 def test_checks_counted_while_saving_equal_the_single_ones(spark, small_dir, tmp_path):
     clean = store.load(spark, small_dir)
     bad = dirty.with_faults(clean)
