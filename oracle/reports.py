@@ -266,6 +266,15 @@ def kpis() -> dict[str, str]:
                    {total_if(LATE, 'statement_balance')} AS at_risk_exposure,
                    {pct(n_if(LATE), 'count(*)')} AS del_rate_pct
             FROM statements GROUP BY ALL"""),
+        "report_pack": compose(f"""
+            SELECT CASE WHEN grouping(payment_type) = 0 THEN 'payment' WHEN grouping(period_month) = 1 THEN 'bucket'
+                        WHEN grouping(dpd_bucket) = 1 THEN 'month' ELSE 'month and bucket' END AS report,
+                   period_month, dpd_bucket, payment_type, count(*) AS statements, {n_if(LATE)} AS dpd_30plus,
+                   {n_if(SERIOUS)} AS dpd_60plus, {n_if(DEFAULT)} AS dpd_90plus, {total('statement_balance')} AS balance,
+                   {total_if(LATE, 'statement_balance')} AS late_balance, {total('statement_balance - paid_amount')} AS revolving,
+                   {total('days_past_due')} AS dpd, count(days_past_due) AS with_dpd
+            FROM (SELECT *, {PAYMENT_TYPE} AS payment_type FROM statements)
+            GROUP BY GROUPING SETS ((period_month), (dpd_bucket), (payment_type), (period_month, dpd_bucket))"""),
         "top_risk_accounts": compose(
             f"""
             SELECT card_id, region, income_band, product_type, card_limit AS credit_limit, statement_balance,

@@ -25,6 +25,7 @@ from revolva.operators import (
     load,
     loss_given_default,
     migration,
+    pack,
     quality,
     vintage,
 )
@@ -92,6 +93,7 @@ ON_CLEAN = {
     "kpi_product": kpis.by_product,
     "kpi_monthly_trend": kpis.monthly_trend,
     "top_risk_accounts": kpis.top_risk_accounts,
+    "report_pack": pack.pack,
     # delinquency
     "delinquency_mom": delinquency.month_on_month,
     "cure_rate": delinquency.cure_rate,
