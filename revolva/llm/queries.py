@@ -34,12 +34,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quick estimates first, then each is taken away and the exact count put in; replays count once."""
+    """Quick estimates first, then each is taken away and the exact count put in; replays count once.
+
+    The totals are read from a snapshot of the first batch and the second batch after it.
+    """
     documents, path = table(spark, sf_dir, "documents"), tokens.vocabulary()
     ledger = token_counts.Ledger(spark, scratch(spark, "ledger"))
     guesses = token_counts.estimated(documents, "estimate")
     ledger.commit("load", guesses)
     ledger.commit("load", guesses)
+    ledger.compact()
     exact = token_counts.counted(documents, path, tokens.BYTE_BPE)
     revised = token_counts.estimated(documents, "estimate", -1).unionByName(exact)
     ledger.commit("recount", revised)

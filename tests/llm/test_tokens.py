@@ -66,6 +66,65 @@ def test_ledger_adds_signed_changes_once(spark):
         ledger.commit("../x", first)
 
 
+def changes(spark, *rows):
+    return spark.createDataFrame(rows, "source string, lang string, tokenizer string, documents long, tokens long")
+
+
+def sums(ledger):
+    return {(r.source, r.documents, r.tokens) for r in ledger.totals().collect()}
+
+
+def test_totals_are_a_snapshot_and_later_batches(spark, tmp_path):
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.compact() and ledger.totals().count() == 0
+    ledger.commit("a", changes(spark, ("x", "en", "v", 2, 20), ("y", "en", "v", 1, 5)))
+    ledger.commit("b", changes(spark, ("x", "en", "v", -1, -7)))
+    before = sums(ledger)
+    assert ledger.compact() and sums(ledger) == before == {("x", 1, 13), ("y", 1, 5)}
+    parts = lambda: [str(p.relative_to(tmp_path / "ledger")).split("/")[0] for p in tmp_path.rglob("part-*.parquet")]
+    assert set(parts()) == {"snapshot"}
+    assert not ledger.commit("a", changes(spark, ("x", "en", "v", 9, 9)))  # still known
+    ledger.commit("c", changes(spark, ("y", "en", "v", -1, -5), ("z", "en", "v", 1, 1)))
+    assert sums(ledger) == {("x", 1, 13), ("z", 1, 1)}
+    assert ledger.compact() and ledger.compact() and sums(ledger) == {("x", 1, 13), ("z", 1, 1)}
+    assert ledger.batches() == ["a", "b", "c"] and set(parts()) == {"snapshot"}
+
+
+def test_commits_do_not_rest_on_success_markers(spark, tmp_path):
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        assert ledger.commit("a", changes(spark, ("x", "en", "v", 1, 3)))
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert sums(ledger) == {("x", 1, 3)} and not ledger.commit("a", changes(spark, ("x", "en", "v", 1, 3)))
+
+
+def test_writers_of_one_batch_and_of_one_snapshot(spark, tmp_path, monkeypatch):
+    """Two writers that both saw nothing: the first counts, the other leaves no trace."""
+    ledger, other = (token_counts.Ledger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    first = ledger._write
+    def race(sums, name):
+        data = first(sums, name)
+        monkeypatch.setattr(ledger, "_write", first)
+        assert other.commit("a", changes(spark, ("x", "en", "v", 1, 3)))
+        return data
+    monkeypatch.setattr(ledger, "_write", race)
+    assert not ledger.commit("a", changes(spark, ("x", "en", "v", 5, 50)))
+    assert sums(ledger) == {("x", 1, 3)}
+    def late(sums, name):
+        data = first(sums, name)
+        monkeypatch.setattr(ledger, "_write", first)
+        other.commit("b", changes(spark, ("y", "en", "v", 1, 1)))
+        assert other.compact()
+        return data
+    monkeypatch.setattr(ledger, "_write", late)
+    assert not ledger.compact()
+    assert sums(ledger) == {("x", 1, 3), ("y", 1, 1)}
+    assert len({p.parent for p in tmp_path.rglob("part-*.parquet")}) == 1
+
+
 def test_counts_of_odd_rows(spark):
     ledger = token_counts.Ledger(spark, scratch(spark, "ledger"))
     df = clashing(documents(spark, odd_rows()))
@@ -206,7 +265,7 @@ def test_sums_of_a_batch_are_written_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "6")
         ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
         ledger.commit("a", changes)
-        assert len(list((tmp_path / "ledger" / "batch=a").glob("part-*.parquet"))) > 1
+        assert len(list((tmp_path / "ledger" / "batch=a").rglob("part-*.parquet"))) > 1
         assert ledger.totals().count() == 4000
     finally:
         for k, v in old.items():
