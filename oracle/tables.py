@@ -9,7 +9,7 @@ people AS (
   SELECT k, r_name AS region, CAST(15000 + 1000 * ((worth + 1000) // 150) AS INT) AS credit_limit, worth, c_nationkey,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'classic' WHEN 'FURNITURE' THEN 'classic' WHEN 'MACHINERY' THEN 'premium'
               WHEN 'HOUSEHOLD' THEN 'platinum' ELSE 'business' END AS product_type,
-         CASE WHEN c_acctbal >= 7800 THEN 'high' WHEN c_acctbal >= 2800 THEN 'medium' ELSE 'low' END AS income_band
+         CASE WHEN c_acctbal >= 6333 THEN 'high' WHEN c_acctbal >= 2667 THEN 'medium' ELSE 'low' END AS income_band
   FROM (SELECT *, CAST(c_custkey AS BIGINT) AS k, CAST(floor(c_acctbal) AS BIGINT) AS worth FROM customer)
   JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 )"""
@@ -33,7 +33,7 @@ folded AS (
 sized AS (
   SELECT k, idx, credit_limit, gross, net // 3 AS balance, greatest(12 * discount - 4 * tax - 10, 0) AS percent,
          greatest(20 * tax - 10 * discount
-                  - CASE WHEN worth < 0 THEN 0 WHEN worth < 2800 THEN 65 WHEN worth < 7800 THEN 90 ELSE 120 END, 0) AS dpd
+                  - CASE WHEN worth < 0 THEN 0 WHEN worth < 2667 THEN 65 WHEN worth < 6333 THEN 90 ELSE 120 END, 0) AS dpd
   FROM people JOIN folded ON o_custkey = k
 ),
 {name} AS (

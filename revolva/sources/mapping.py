@@ -22,6 +22,8 @@ WRITEOFF_DPD = 95
 # The rules of this mapping; the SQL equivalents state them on their own.
 BALANCE_DIVISOR = 3
 MIN_DUE_DIVISOR = 40
+# The account balance runs from about -1,000 to 10,000: income bands are thirds of that range.
+MEDIUM_FROM, HIGH_FROM = 2667, 6333
 # Product per market segment, anything else is a business card.
 PRODUCT = {
     "BUILDING": "classic",
@@ -49,7 +51,7 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "CAST(c_custkey AS BIGINT) AS card_id",
             "r_name AS region",
-            "CASE WHEN c_acctbal < 2800 THEN 'low' WHEN c_acctbal < 7800 THEN 'medium' ELSE 'high' END"
+            f"CASE WHEN c_acctbal < {MEDIUM_FROM} THEN 'low' WHEN c_acctbal < {HIGH_FROM} THEN 'medium' ELSE 'high' END"
             " AS income_band",
             f"{product} AS product_type",
             "CAST(floor(c_acctbal) AS BIGINT) AS worth",
@@ -64,7 +66,7 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "card_id",
             "product_type",
             "CAST(1000 * (15 + (worth + 1000) DIV 150) AS INT) AS credit_limit",
-            "CASE WHEN worth < 0 THEN 0 WHEN worth < 2800 THEN 13 WHEN worth < 7800 THEN 18 ELSE 24 END AS punctual",
+            f"CASE WHEN worth < 0 THEN 0 WHEN worth < {MEDIUM_FROM} THEN 13 WHEN worth < {HIGH_FROM} THEN 18 ELSE 24 END AS punctual",
         )
     )
 
