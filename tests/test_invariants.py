@@ -15,8 +15,8 @@ def test_mapping_counts(p):
     """Sizes of the mapped portfolio at scale factor 0.01."""
     assert p.cards.count() == p.customers.count() == 1500
     assert p.statements.count() == 31634
-    assert p.writeoffs.count() == 127
-    assert p.statements.where("days_past_due >= 90").count() == 409
+    assert p.writeoffs.count() == 126
+    assert p.statements.where("days_past_due >= 90").count() == 408
     assert p.statements.where("statement_balance = 0").count() == 6149
 
 
