@@ -54,7 +54,7 @@ def test_segments_shuffle_aggregates_only(plan, name):
 
 
 def test_sensitivity_reads_the_last_month_once(plan):
-    assert plan("ead_ccf_sensitivity").count("FileScan") == 2  # the rows, and the date of the last month
+    assert plan("ead_ccf_sensitivity").count("FileScan") == 1  # the store knows the date of the last month
 
 
 def test_columns_are_pruned(plan):
