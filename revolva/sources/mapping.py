@@ -110,9 +110,12 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statements(people: DataFrame, act: DataFrame) -> DataFrame:
-    """Balance from the price kept, payment from the discount, days past due from tax and account."""
+    """Balance from the price kept, payment from the discount, days past due from tax and account.
+
+    The cards of a bucket are far fewer than its months: they are hashed and the months are not sorted.
+    """
     return (
-        act.join(people.select("card_id", "credit_limit", "punctual"), "card_id")
+        act.join(people.select("card_id", "credit_limit", "punctual").hint("shuffle_hash"), "card_id")
         .selectExpr(
             "*",
             f"coalesce(net, 0) DIV {BALANCE_DIVISOR} AS balance",

@@ -36,6 +36,12 @@ def test_order_lines_are_joined_without_a_sort(spark, plain_plans, orders_dir):
     assert "ShuffledHashJoin [l_orderkey" in text and "SortMergeJoin" not in text and "Sort [" not in text
 
 
+def test_months_are_joined_to_their_card_without_a_sort(spark, plain_plans, orders_dir):
+    people = spark.createDataFrame([(7, 2000, 13)], "card_id long, credit_limit int, punctual int")
+    text = plain_plans(mapping.statements(people, mapping.activity(spark, orders_dir)))
+    assert "ShuffledHashJoin [card_id" in text and "SortMergeJoin" not in text
+
+
 def test_repeated_and_null_keys(spark, orders_dir):
     got = {(r.card_id, r.idx, r.gross, r.net, r.discount, r.tax) for r in mapping.activity(spark, orders_dir).collect()}
     assert got == {(7, 0, 150, 100, 7, 2), (5, 0, 20, 20, 0, 2), (None, 0, 30, 30, 0, 2)}
